@@ -29,6 +29,7 @@ class LoadPlan:
     tasks: int
     bins: tuple[int, ...]
     heavy: dict  # key (string) -> tuple of task ids, one per shard
+    total: int = 0  # rows of all keys
 
     @property
     def n_bins(self) -> int:
@@ -63,7 +64,7 @@ def pack(bin_loads: dict[int, int], heavy_loads: dict[str, int], tasks: int) ->
         else:
             heavy.setdefault(what, []).append(t)
         heapq.heappush(heap, (used + load, t))
-    return LoadPlan(tasks, tuple(bins), {k: tuple(v) for k, v in heavy.items()})
+    return LoadPlan(tasks, tuple(bins), {k: tuple(v) for k, v in heavy.items()}, total)
 
 
 def plan_load(loads: DataFrame, key: str, weight: str, tasks: int) -> LoadPlan:

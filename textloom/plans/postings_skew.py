@@ -42,12 +42,10 @@ def heavy_keys(postings: DataFrame, share: float = 0.01) -> DataFrame:
     count once; ties at the limit are all listed; an empty table gives no rows.
     """
     pairs, plans = key_loads(postings)
-    total = pairs.agg(F.count(F.lit(1)).alias("n_all"))
     out = None
     for kind, key, other in (("term", "term", "doc_id"), ("doc", "doc_id", "term")):
         counts = skew.balanced_counts(pairs, key, [other], plans[key])
-        # total is one row, so this join moves nothing
-        part = counts.join(F.broadcast(total), F.col("n_rows") >= F.col("n_all") * F.lit(share)).select(F.lit(kind).alias("key_kind"), F.col(key).cast("string").alias("key_value"))
+        part = counts.where(F.col("n_rows") >= F.lit(share * plans[key].total)).select(F.lit(kind).alias("key_kind"), F.col(key).cast("string").alias("key_value"))
         out = part if out is None else out.unionByName(part)
     return out
 
