@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import site_lines, term_counts
+from textloom.llm import leakage, shared_spans, site_lines, term_counts
 from textloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def p5_repeated_chunks(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_chunks(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_leak_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p9_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_shares(table(spark, d, "documents"))
+
+
 _TERMS = r"""
 WITH v AS (
   SELECT lower(regexp_replace(term, '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')) AS term, doc_id, term_freq, indexed_at
@@ -59,7 +75,14 @@ WITH d AS (
   GROUP BY site, line, site_docs HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) >= 0.05 * site_docs
 ), found AS (SELECT DISTINCT doc_id, line_no FROM lines JOIN cases USING (site, line))
 """
+_PHRASES = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM ds JOIN items USING (s)"""
 _SQL = {
+    "p8_found": _PHRASES,
     "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_term_counts": _TERMS + "SELECT term, total_freq, n_docs, mark FROM marked",
     "p5_found": _LINES + "SELECT doc_id, line_no FROM found",
@@ -73,6 +96,8 @@ FROM documents d LEFT JOIN kept USING (doc_id)""",
 _QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_term_counts": p1_term_counts,
     "p5_found": p5_found, "p5_clean_text": p5_clean_text, "p5_repeated_chunks": p5_repeated_chunks,
+    "p8_found": p8_found, "p8_leak_spans": p8_leak_spans,
+    "p9_found": p9_found, "p9_shared_share": p9_shared_share,
 }
 
 
