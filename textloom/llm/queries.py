@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import leakage, shared_spans, site_lines, term_counts
+from textloom.llm import leakage, mojibake, packing, shared_spans, site_lines, term_counts
 from textloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def p5_repeated_chunks(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_chunks(table(spark, d, "documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_fields(table(spark, d, "documents"))
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.containers(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -96,6 +112,8 @@ FROM documents d LEFT JOIN kept USING (doc_id)""",
 _QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_term_counts": p1_term_counts,
     "p5_found": p5_found, "p5_clean_text": p5_clean_text, "p5_repeated_chunks": p5_repeated_chunks,
+    "p3_found": p3_found, "p3_restored": p3_restored,
+    "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_leak_spans": p8_leak_spans,
     "p9_found": p9_found, "p9_shared_share": p9_shared_share,
 }
