@@ -26,11 +26,12 @@ from textloom.llm.common import batch, chunks_of, codes
 from textloom.runtime import spread
 
 BITS = 20  # the pair table has 2**BITS counters, whatever the alphabet
-LIMIT = -17.0  # log2 share of all pairs under which a pair is improbable
+LIMIT = -15.0  # log2 share of all pairs under which a pair is improbable
+RARE = -17.0  # a restored run has mostly pairs above this
 PLAIN = -3.0  # score of a pair of two ASCII characters
 ENOUGH = 4.0  # score a run needs to be tested at all
-STRONG = 12.0  # score a run needs for mappings between single-byte encodings
-GAIN = 3.0  # bits a pair by which a restored run must be more probable
+GAIN = 3.0  # bits a pair by which runs must be more probable after a mapping between single-byte encodings
+SURE = 10.0  # total gain in bits that such a mapping needs
 _CHUNK = 1 << 20
 
 # encodings that text is wrongly read as, and encodings that it really had
@@ -69,6 +70,15 @@ def _encode(run: str, name: str) -> bytes | None:
         return None
 
 
+# letter case is no evidence, so the case of characters under 0x2000 is folded one by one
+_FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0x2000)], np.uint32)
+
+
+def folded(text: str) -> np.ndarray:
+    s = codes(text)
+    return np.where(s < 0x2000, _FOLD[np.minimum(s, 0x1FFF)], s)
+
+
 def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
@@ -82,7 +92,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of adjacent pairs with a non-ASCII character, summed per task; slot -1 counts all pairs."""
     table, total = np.zeros(1 << BITS, np.int64), 0
     for _, texts in chunks_of(batches, 0, _CHUNK):
-        s = codes("\n".join(t for t in texts if t))
+        s = folded("\n".join(t for t in texts if t))
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
         table += np.bincount(pair_slots(s[at], s[at + 1]), minlength=1 << BITS)
@@ -122,7 +132,8 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in stack]
 
 
-_LETTERS = re.compile(r"[^\W\d_]")
+# replacement or C1 characters next to letters: bytes were lost there, nothing can be restored
+_LOST = re.compile("(?<=[^\\W\\d_])[\ufffd\x80-\x9f]+|[\ufffd\x80-\x9f]+(?=[^\\W\\d_])")
 _QUOTES = {"“": "”", "‘": "’", "„": "“", "«": "»", '"': '"', "'": "'", "`": "`", "「": "」", "(": ")"}
 
 
@@ -131,17 +142,19 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.known: dict[tuple[str, bool], str | None] = {}
+        self.known: dict[str, str | None] = {}
+        self.mapped: dict[str, dict[tuple[str, str], tuple[str, float]]] = {}
 
     def logs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        s = codes(text)
+        s = folded(text)
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
         return at, self.model[pair_slots(s[at], s[at + 1])]
 
-    def surprise(self, text: str) -> float:
-        """Bits of all its pairs together."""
-        return -float(self.logs(text)[1].sum())
+    def mean(self, text: str) -> float:
+        """Mean log2 share of the pairs with a non-ASCII character; plain text counts as probable."""
+        logs = self.logs(text)[1]
+        return float(logs.mean()) if len(logs) else RARE / 2
 
     def runs(self, text: str) -> list[tuple[int, int, float]]:
         """Suspicious runs (from, to, score), widened to whole stretches of non-ASCII characters."""
@@ -172,17 +185,11 @@ class Restorer:
                 out.append((lo, hi, v))
         return out
 
-    def better(self, new: str, old: str) -> bool:
-        """The new text is more probable by ``GAIN`` bits for every changed character at least."""
-        changed = max(1, sum(c > "\x7f" for c in new))
-        return self.surprise(old) - self.surprise(new) >= GAIN * changed
-
-    def unmap(self, run: str, strong: bool) -> str | None:
-        """The run undone, or null.  UTF-8 read as something else is tried first, up to three times over."""
-        key = (run, strong)
-        if key in self.known:
-            return self.known[key]
-        best = None
+    def unmap(self, run: str) -> str | None:
+        """The run undone if it is UTF-8 read as something else (up to three times over), or null."""
+        if run in self.known:
+            return self.known[run]
+        best, value = None, self.mean(run)
         for name in READ_AS:
             raw = _encode(run, name)
             if raw is None:
@@ -191,39 +198,68 @@ class Restorer:
                 new = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if new != run and "\x00" not in new and (best is None or self.surprise(new) < self.surprise(best)):
-                best = new
+            if new != run and "\x00" not in new:
+                v = self.mean(new)
+                if v >= value:
+                    best, value = new, v
         if best is not None:
-            deeper = self.unmap(best, False)
+            deeper = self.unmap(best)
             best = deeper if deeper is not None else best
-            if not self.better(best, run):
-                best = None
-        if best is None and strong and sum(c > "\x7f" for c in run) >= 2:
-            options = []
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[run] = best
+        return best
+
+    def mappings(self, run: str) -> dict[tuple[str, str], tuple[str, float]]:
+        """Mappings between two encodings that make the run clearly more probable: outcome and gain a pair."""
+        if run in self.mapped:
+            return self.mapped[run]
+        out, seen, old = {}, {}, self.mean(run)
+        if old < LIMIT and any(c > "\xa0" for c in run):
             for name, table in _SINGLE.items():
                 try:
                     raw = [table[ord(c)] for c in run]
                 except KeyError:
                     continue
-                for right, to in _TO.items():
-                    if right != name:
-                        chars = [to[i] for i in raw]
-                        if None not in chars:
-                            options.append("".join(chars))
-                data = bytes(raw)
+                options = [(right, "".join(chars)) for right, to in _TO.items() if right != name and None not in (chars := [to[i] for i in raw])]
                 for right in MULTI:
                     try:
-                        options.append(data.decode(right))
+                        options.append((right, bytes(raw).decode(right)))
                     except UnicodeDecodeError:
                         pass
-            options = [o for o in set(options) if o != run and not any("\x7f" <= c < "\xa0" for c in o)]
-            if options:
-                new = min(options, key=lambda o: (self.surprise(o), o))
-                best = new if self.better(new, run) else None
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[key] = best
-        return best
+                for right, new in options:
+                    if new == run:
+                        continue
+                    if new not in seen:
+                        logs = self.logs(new)[1]
+                        odd = any("\x7f" <= c < "\xa0" for c in new) or (logs < RARE).mean() >= 0.34 if len(logs) else True
+                        seen[new] = 0.0 if odd else float(logs.mean()) - old
+                    if seen[new] >= GAIN:
+                        out[name, right] = (new, seen[new])
+        if len(self.mapped) > 200_000:
+            self.mapped.clear()
+        self.mapped[run] = out
+        return out
+
+    def remap(self, runs: list[str]) -> list[str | None]:
+        """Runs of one field undone by the one mapping between encodings that explains them best.
+
+        Runs that the mapping does not improve stay; together the others must hold
+        two garbled characters and reach ``SURE`` bits.
+        """
+        options = [self.mappings(r) for r in runs]
+        total: dict[tuple[str, str], list[float]] = {}
+        for run, known in zip(runs, options):
+            n = sum(c > "\xa0" for c in run)
+            for mapping, (_, gain) in known.items():
+                t = total.setdefault(mapping, [0.0, 0])
+                t[0] += gain * (n + 1)
+                t[1] += n
+        fit = [(t[0], m) for m, t in total.items() if t[0] >= SURE and t[1] >= 2]
+        if not fit:
+            return [None] * len(runs)
+        best = max(fit, key=lambda x: (x[0], -list(total).index(x[1])))[1]
+        return [known[best][0] if best in known else None for known in options]
 
     @staticmethod
     def quoted(text: str, lo: int, hi: int) -> bool:
@@ -234,41 +270,31 @@ class Restorer:
             hi -= 1
         return hi - lo <= 12 and lo > 0 and hi < len(text) and _QUOTES.get(text[lo - 1]) == text[hi]
 
-    @staticmethod
-    def stranded(text: str, lo: int, hi: int) -> bool:
-        """Replacement or C1 characters next to letters: bytes were lost, nothing can be restored."""
-        for m in re.finditer("[�\x80-\x9f]+", text[max(0, lo - 1) : hi + 1]):
-            at = max(0, lo - 1) + m.start()
-            before = text[at - 1 : at]
-            after = text[at + len(m.group()) :][:1]
-            if _LETTERS.match(before or " ") or _LETTERS.match(after or " "):
-                return True
-        return False
-
     def restore(self, text: str | None) -> tuple[int, int, str | None]:
         """(stretches found, stretches restored, text with them restored)."""
         if not text or text.isascii():
             return 0, 0, text
-        found, undone, parts, done = 0, 0, [], 0
-        for lo, hi, score in self.runs(text):
-            if self.quoted(text, lo, hi):
-                continue
-            run = text[lo:hi]
-            new = self.unmap(run, score >= STRONG)
-            if new is None:
-                pieces, any_new = [], False
-                for piece in re.split("([\x00-\x7f]+)", run):
-                    fixed = self.unmap(piece, False) if piece and piece[0] > "\x7f" else None
-                    any_new |= fixed is not None
-                    pieces.append(piece if fixed is None else fixed)
-                new = "".join(pieces) if any_new else None
-            if new is not None:
-                found, undone = found + 1, undone + 1
-                parts += [text[done:lo], new]
-                done = hi
-            elif self.stranded(text, lo, hi):
-                found += 1
-        return found, undone, "".join([*parts, text[done:]]) if parts else text
+        spans = [(lo, hi) for lo, hi, _ in self.runs(text) if not self.quoted(text, lo, hi)]
+        new: list[str | None] = []
+        for lo, hi in spans:
+            fixed = self.unmap(text[lo:hi])
+            if fixed is None:  # a part of the run may be sound
+                pieces = re.split("([\x00-\x7f]+)", text[lo:hi])
+                fixes = [self.unmap(p) if p and p[0] > "\x7f" else None for p in pieces]
+                if any(f is not None for f in fixes):
+                    fixed = "".join(p if f is None else f for p, f in zip(pieces, fixes))
+            new.append(fixed)
+        rest = [i for i, n in enumerate(new) if n is None]
+        if rest:
+            for i, n in zip(rest, self.remap([text[slice(*spans[i])] for i in rest])):
+                new[i] = n
+        lost = sum(not self.quoted(text, m.start(), m.end()) for m in _LOST.finditer(text))
+        parts, done, undone = [], 0, 0
+        for (lo, hi), n in zip(spans, new):
+            if n is not None:
+                parts += [text[done:lo], n]
+                done, undone = hi, undone + 1
+        return undone + lost, undone, "".join([*parts, text[done:]]) if parts else text
 
 
 _FIXED = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("n_found", pa.int32()), ("n_restored", pa.int32()), ("restored", pa.string())])
