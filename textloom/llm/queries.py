@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import leakage, main_body, mojibake, packing, shared_spans, site_lines, term_counts
+from textloom.llm import leakage, main_body, mojibake, packing, residue, shared_spans, site_lines, term_counts
 from textloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return table(spark, d, "documents"), table(spark, d, "parsed_documents"), table(spark, d, "http_responses")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(*_pages(spark, d))
+
+
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(*_pages(spark, d)).select("doc_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return main_body.furniture_lines(*_pages(spark, d))
 
@@ -125,6 +133,7 @@ _QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_term_counts": p1_term_counts,
     "p5_found": p5_found, "p5_clean_text": p5_clean_text, "p5_repeated_chunks": p5_repeated_chunks,
     "p3_found": p3_found, "p3_restored": p3_restored,
+    "p4_found": p4_found, "p4_kept": p4_kept,
     "p6_found": p6_found, "p6_main_body": p6_main_body,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_leak_spans": p8_leak_spans,
