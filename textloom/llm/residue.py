@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and scripts-required notices.
 
-Documents are read as units: the sentences of their lines, with names, numbers,
-paths and codes masked.  Units that match a trusted pattern are labelled; the labels
+Documents are read as units: the sentences of their lines, with numbers, paths and
+codes masked.  Units that match a trusted pattern are labelled; the labels
 spread to near-duplicates and on from those through connected components, found
 with SimHash tables partitioned by block and verified by Hamming distance and by the
 similarity of five-word shingles.  A document is residue where all units of its main
@@ -42,7 +42,7 @@ UNSET_TITLE = re.compile(r"^(?:undefined|null|nan|none|\[object \w+\])(?:\s*(?:[
 TRUSTED = re.compile(
     r"^(?:error\s+)?[45]\d\d(?:\s*[-–:]\s|\s+(?:bad|internal|not|forbidden|service|gateway|unauthori[sz]ed|error|too)\b)|\bnot found\b|\bpage not available\b|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|(?:access|permission) denied|do not have permission to"
     r"|request blocked|reference number|too many requests|retry in \w+ (?:second|minute)|session has expired|sign in again|down for maintenance|expected back in|error establishing a database|^fatal error\b|^traceback\b|\w+error '"
-    r"|page can'?t be found|try the search box|^oops\b|no longer available|has moved or never existed|return to the start page|closed the connection|quote incident|come back later|checking your connection"
+    r"|page can'?t be found|try the search box|^oops\b|no longer available|has moved or never existed|return to the start page|closed the connection|quote incident|come back later|checking your connection|^ray \w+\W*$"
     r"|nicht gefunden|est introuvable|no existe o fue movida|não (?:existe|foi encontrada)"
     r"|(?:enable|aktivieren sie|requiert|without|activez|active|ative) (?:los )?(?:javascript|scripts)|javascript is disabled|turn it on and reload|needs scripts to run|blocks them|scripts are off|allow scripts|scripting active|^loading\W*$"
     r"|sample text|dummy (?:copy|text)|replace this paragraph|second column here|type something in|short description of your|headline belongs in|^(?:text )+text\W*$",
@@ -54,15 +54,40 @@ LATIN = frozenset(
     "sit consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis in reprehenderit voluptate velit esse cillum eu nulla pariatur excepteur occaecat cupidatat non sunt culpa qui deserunt mollit anim id est laborum".split()
 )
 
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
-_CODE = re.compile(r"/[\w./-]+|\b(?=\w*\d)\w+\b")
-_PROPER = re.compile(r"(?<=\S )[A-Z]\w+")
-_WORD = re.compile(r"[^\W_]+|0")
+# what every match of a pattern contains, in lower case: a unit without any of these holds none
+_NEEDED = {
+    "trusted": (
+        "not found|page not available|bad gateway|gateway time|internal server error|unavailable|denied|do not have permission|request blocked|reference number|too many requests|retry in"
+        "|session has expired|sign in again|maintenance|expected back in|error establishing|fatal error|traceback|error '|be found|try the search box|oops|no longer available|has moved|return to the start|closed the connection|quote incident|come back later"
+        "|checking your connection|nicht gefunden|introuvable|no existe|não existe|não foi|script|turn it on|blocks them|sample text|dummy |replace this|second column|type something|short description|headline belongs"
+    ),
+    "unset": "undefined|null|nan|none|[object",
+    # a sentence of three words or more of mock Latin has one of the longer ones
+    "latin": "|".join(sorted(w for w in LATIN if len(w) > 3)),
+}
+_AT_START = re.compile(r"(?:error\s+)?[45]\d\d|ray |loading|text ", re.I)
+_SLOT_CHARS = re.compile(r"[{\[<@$%]|__")
 
 
-def masked(unit: str) -> str:
-    """Lower case, with paths, codes and numbers as ``0`` and inner capitalised words as ``n``."""
-    return " ".join(_WORD.findall(_PROPER.sub("n", _CODE.sub("0", unit)).lower()))
+def _automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for kind, words in _NEEDED.items():
+        for w in words.split("|"):
+            a.add_word(w, kind)
+    a.make_automaton()
+    return a
+
+
+_SENTENCE = re.compile(r"([.!?…])[^\S\n]+|([。！？])(?!\n)")
+_CODE = re.compile(r"/[\w./-]+|\b[^\W\d]*+\d\w*")
+_OTHER = re.compile(r"[^\w\s\x1e]+|_+")
+
+
+def masked(text: str) -> str:
+    """Lower case without punctuation; paths, codes and numbers as ``0``.  White space and sentence marks stay."""
+    return _OTHER.sub(" ", _CODE.sub("0", text.lower()))
 
 
 def trusted(unit: str) -> bool:
@@ -83,34 +108,27 @@ _CACHE: dict[str, int] = {}
 
 
 def simhashes(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash of each text over its words and word pairs."""
+    """64-bit SimHash of each text over its pairs of adjacent words, the last one with the end."""
     if not texts:
         return np.empty(0, np.int64)
     if len(_CACHE) > 500_000:
         _CACHE.clear()
-    hashes, sizes = [], []
-    for t in texts:
-        words = t.split(" ")
-        for w in words:
-            h = _CACHE.get(w)
-            if h is None:
-                h = _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        sizes.append(len(words))
-    h, size = np.array(hashes, np.uint64), np.array(sizes)
+    words = " ".join(texts).split(" ")
+    for w in set(words) - _CACHE.keys():
+        _CACHE[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.array([_CACHE[w] for w in words], np.uint64)
+    size = np.array([t.count(" ") + 1 for t in texts])
     ends = np.cumsum(size)
     out = np.empty(len(texts), np.uint64)
-    block = 4096
-    for lo in range(0, len(texts), block):
-        hi = min(len(texts), lo + block)
+    for lo in range(0, len(texts), 4096):
+        hi = min(len(texts), lo + 4096)
         a, b = ends[lo] - size[lo], ends[hi - 1]
-        w = h[a:b]
-        pairs = mix(w * np.uint64(3) + np.append(w[1:], w[:1]))
-        last = ends[lo:hi] - 1 - a
-        pairs[last] = w[last]  # no pair over the end of a text
-        votes = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) + np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)
+        after = np.append(h[a + 1 : b], 0).astype(np.uint64)
+        after[ends[lo:hi] - 1 - a] = 0
+        pairs = mix(h[a:b] * np.uint64(3) + after)
+        votes = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)
         sums = np.add.reduceat(votes, ends[lo:hi] - size[lo:hi] - a, axis=0, dtype=np.int32)
-        out[lo:hi] = np.packbits(sums > size[lo:hi, None], axis=1).reshape(-1).view(np.uint64)
+        out[lo:hi] = np.packbits(2 * sums > size[lo:hi, None], axis=1).reshape(-1).view(np.uint64)
     return out.view(np.int64)
 
 
@@ -122,42 +140,52 @@ def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of (doc_id, title, text) rows.
 
     The title is line -1 and only looked at for slots.  The masked text comes with
-    its first place in a task; a line without words has key null.
+    its first place in a task.  Patterns are only tried on units that hold a string
+    every match needs, found for all patterns together in one pass.
     """
+    needed = _automaton()
     seen: set[int] = set()
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        rows, new = [], []
+        doc_ids, lines, keys, slots, oks, texts = [], [], [], [], [], []
+
+        def add(*row):
+            for column, x in zip((doc_ids, lines, keys, slots, oks, texts), row):
+                column.append(x)
+
         for doc, title, text in zip(*(c.to_pylist() for c in b.columns)):
             if title and (UNSET_TITLE.match(title.strip()) or has_slot(title.strip())):
-                rows.append((doc, -1, None, True, False, None))
+                add(doc, -1, None, True, False, None)
             if not text:
                 continue
-            for no, line in enumerate(text.split("\n")):
-                line = line.strip()
-                if not line:
-                    continue
-                for unit in _SPLIT.split(line):
-                    m = masked(unit)
-                    slot = has_slot(unit)
-                    if not m:
+            marked = _SENTENCE.sub("\\1\\2\x1e", text.replace("\x1e", " "))
+            for no, (line, raw) in enumerate(zip(masked(marked).split("\n"), marked.split("\n"))):
+                for unit, r in zip(line.split("\x1e"), raw.split("\x1e")):
+                    unit, r = " ".join(unit.split()), r.strip()
+                    if not r:
+                        continue
+                    kinds = {kind for _, kind in needed.iter(r.lower())}
+                    slot = ("unset" in kinds or _SLOT_CHARS.search(r) is not None) and has_slot(r)
+                    if not unit:
                         if slot:
-                            rows.append((doc, no, None, slot, False, None))
+                            add(doc, no, None, True, False, None)
+                        continue
+                    key = digest(unit) - (1 << 63)
+                    if key in seen:
+                        add(doc, no, key, slot, False, None)
                         continue
-                    key = xxhash.xxh3_64_intdigest(m) - (1 << 63)
-                    fresh = key not in seen
-                    if fresh:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(key)
-                    rows.append((doc, no, key, slot, fresh and trusted(unit), m if fresh else None))
-        if not rows:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    likely = "trusted" in kinds or "latin" in kinds or _AT_START.match(r) is not None
+                    add(doc, no, key, slot, likely and trusted(r), unit)
+        if not doc_ids:
             continue
-        doc, no, key, slot, ok, text = (list(c) for c in zip(*rows))
-        at = [i for i, t in enumerate(text) if t is not None]
-        sims: list = [None] * len(rows)
-        for i, s in zip(at, simhashes([text[i] for i in at]).tolist()):
+        at = [i for i, t in enumerate(texts) if t is not None]
+        sims: list = [None] * len(texts)
+        for i, s in zip(at, simhashes([texts[i] for i in at]).tolist()):
             sims[i] = s
-        yield batch(_UNITS, doc, no, key, slot, ok, text, sims)
+        yield batch(_UNITS, doc_ids, lines, keys, slots, oks, texts, sims)
 
 
 def _tables(units: DataFrame) -> DataFrame:
