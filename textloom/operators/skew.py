@@ -105,7 +105,7 @@ def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     k = F.col(key).cast("string")
     s = _shards(plan, k)
     targets = F.when(s.isNotNull(), F.array_distinct(s)).otherwise(F.array(_task_of(plan, k)))
-    return df.withColumn("__task", F.explode(targets))
+    return df.withColumn("__task", F.explode(targets)).repartitionById(plan.tasks, F.col("__task"))
 
 
 def balanced_counts(pairs: DataFrame, key: str, spread_by: list[str], plan: LoadPlan) -> DataFrame:
@@ -119,8 +119,11 @@ def fragment_replicate_join(large: DataFrame, small: DataFrame, key: str, plan:
 
     ``how`` is ``inner`` or ``left`` (every row of ``large`` kept; it lies in exactly
     one shard, so no row is produced twice).  Columns of ``small`` that clash with
-    ``large`` get the suffix ``_m``.  Null keys never match.
+    ``large`` get the suffix ``_m``.  Null keys never match.  Sets the session to
+    accept a placement by a part of the join keys, so that rows stay where the plan
+    put them instead of being hashed again.
     """
+    large.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     clash = set(large.columns) & set(small.columns) - {key}
     side = replicate(small.select(*[F.col(c).alias(c + "_m" if c in clash else c) for c in small.columns]), key, plan)
     return fragment(large, key, plan, spread_by).join(side, ["__task", key], how).drop("__task")

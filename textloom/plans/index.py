@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -61,9 +61,8 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame) -> Index:
     tf = term_frequencies(docs)
     lengths = document_lengths(docs)
-    # a document's length is the sum of its own frequencies: a window over rows already placed by document
-    dense = tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-    postings = tf.join(dense, "doc_id").select("term", "doc_id", "tf", "doc_len")
+    # a document's length is the sum of its own frequencies: its rows are already placed together
+    postings = tf.select("term", "doc_id", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).alias("doc_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(postings, df, lengths, corpus_statistics(lengths))
 
