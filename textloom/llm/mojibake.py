@@ -101,14 +101,18 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(_COUNTS, np.append(slots, -1), np.append(table[slots], total))
 
 
-def pair_model(fields: DataFrame) -> np.ndarray:
-    """log2 share of each slot over all fields; the driver holds at most 2**BITS numbers."""
+def pair_model(fields: DataFrame) -> tuple[np.ndarray, float, float]:
+    """log2 share of each slot over all fields, and the limits of improbable and rare pairs.
+
+    In a small corpus pairs seen up to three times are improbable and unseen ones rare,
+    whatever their share.  The driver holds at most 2**BITS numbers.
+    """
     counts = fields.mapInArrow(count_pairs, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     total = max(1, int(counts.n[counts.slot == -1].sum()))
     table = np.zeros(1 << BITS)
     seen = counts[counts.slot >= 0]
     table[seen.slot.to_numpy(np.int64)] = seen.n.to_numpy(float)
-    return np.log2((table + 0.5) / total).astype(np.float32)
+    return np.log2((table + 0.5) / total).astype(np.float32), max(LIMIT, float(np.log2(4 / total))), max(RARE, float(np.log2(1 / total)))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -140,8 +144,8 @@ _QUOTES = {"“": "”", "‘": "’", "„": "“", "«": "»", '"': '"', "'":
 class Restorer:
     """Finds and undoes wrong decodings in single texts, given a pair model."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
+    def __init__(self, model: tuple[np.ndarray, float, float]):
+        self.model, self.limit, self.rare = model
         self.known: dict[str, str | None] = {}
         self.mapped: dict[str, dict[tuple[str, str], tuple[str, float]]] = {}
 
@@ -154,14 +158,14 @@ class Restorer:
     def mean(self, text: str) -> float:
         """Mean log2 share of the pairs with a non-ASCII character; plain text counts as probable."""
         logs = self.logs(text)[1]
-        return float(logs.mean()) if len(logs) else RARE / 2
+        return float(logs.mean()) if len(logs) else self.rare / 2
 
     def runs(self, text: str) -> list[tuple[int, int, float]]:
         """Suspicious runs (from, to, score), widened to whole stretches of non-ASCII characters."""
         at, logs = self.logs(text)
         if not len(at):
             return []
-        score = np.minimum(LIMIT - logs, 10.0)
+        score = np.minimum(self.limit - logs, 10.0)
         if not (score > 0).any():
             return []
         values, spots, last = [], [], None
@@ -186,7 +190,7 @@ class Restorer:
         return out
 
     def unmap(self, run: str) -> str | None:
-        """The run undone if it is UTF-8 read as something else (up to three times over), or null."""
+        """The run undone if it is UTF-8 read as something else (perhaps several times over), or null."""
         if run in self.known:
             return self.known[run]
         best, value = None, self.mean(run)
@@ -199,12 +203,11 @@ class Restorer:
             except UnicodeDecodeError:
                 continue
             if new != run and "\x00" not in new:
+                deeper = self.unmap(new)  # each step is shorter, so this ends
+                new = new if deeper is None else deeper
                 v = self.mean(new)
                 if v >= value:
                     best, value = new, v
-        if best is not None:
-            deeper = self.unmap(best)
-            best = deeper if deeper is not None else best
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[run] = best
@@ -215,7 +218,7 @@ class Restorer:
         if run in self.mapped:
             return self.mapped[run]
         out, seen, old = {}, {}, self.mean(run)
-        if old < LIMIT and any(c > "\xa0" for c in run):
+        if old < self.limit and any(c > "\xa0" for c in run):
             for name, table in _SINGLE.items():
                 try:
                     raw = [table[ord(c)] for c in run]
@@ -232,7 +235,7 @@ class Restorer:
                         continue
                     if new not in seen:
                         logs = self.logs(new)[1]
-                        odd = any("\x7f" <= c < "\xa0" for c in new) or (logs < RARE).mean() >= 0.34 if len(logs) else True
+                        odd = any("\x7f" <= c < "\xa0" for c in new) or (logs < self.rare).mean() >= 0.34 if len(logs) else True
                         seen[new] = 0.0 if odd else float(logs.mean()) - old
                     if seen[new] >= GAIN:
                         out[name, right] = (new, seen[new])
@@ -300,7 +303,7 @@ class Restorer:
 _FIXED = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("n_found", pa.int32()), ("n_restored", pa.int32()), ("restored", pa.string())])
 
 
-def restorer(model: np.ndarray):
+def restorer(model: tuple[np.ndarray, float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Restorer(model)
         for b in batches:
