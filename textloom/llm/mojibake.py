@@ -29,7 +29,7 @@ BITS = 20  # the pair table has 2**BITS counters, whatever the alphabet
 LIMIT = -15.0  # log2 share of all pairs under which a pair is improbable
 RARE = -17.0  # a restored run has mostly pairs above this
 PLAIN = -3.0  # score of a pair of two ASCII characters
-ENOUGH = 4.0  # score a run needs to be tested at all
+ENOUGH = 1.0  # score a run needs to be tested at all
 GAIN = 3.0  # bits a pair by which runs must be more probable after a mapping between single-byte encodings
 SURE = 10.0  # total gain in bits that such a mapping needs
 _CHUNK = 1 << 20
@@ -79,6 +79,22 @@ def folded(text: str) -> np.ndarray:
     return np.where(s < 0x2000, _FOLD[np.minimum(s, 0x1FFF)], s)
 
 
+_PLAIN_TEXT = re.compile(r"[A-Za-z0-9 .,;:'\"()!?\n-]+")
+
+
+def _from_wide(run: str) -> str | None:
+    """Plain text whose bytes were read two by two as UTF-16, in a run of at least six such characters."""
+    if len(run) >= 6:
+        for name in ("utf-16-le", "utf-16-be"):
+            try:
+                new = run.encode(name, "surrogatepass").decode("ascii")
+            except UnicodeDecodeError:
+                continue
+            if _PLAIN_TEXT.fullmatch(new) and sum(c.isalpha() or c == " " for c in new) >= 0.8 * len(new):
+                return new
+    return None
+
+
 def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
@@ -136,11 +152,17 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in stack]
 
 
-# replacement or C1 characters next to letters: bytes were lost there, nothing can be restored
-_LOST = re.compile("(?<=[^\\W\\d_])[\ufffd\x80-\x9f]+|[\ufffd\x80-\x9f]+(?=[^\\W\\d_])")
+# replacement or C1 characters next to letters or digits: bytes were lost there, nothing can be restored
+_LOST = re.compile("(?<=[^\\W_])[\ufffd\x80-\x9f]+|[\ufffd\x80-\x9f]+(?=[^\\W_])")
 _QUOTES = {"“": "”", "‘": "’", "„": "“", "«": "»", '"': '"', "'": "'", "`": "`", "「": "」", "(": ")"}
 
 
+# Latin letters next to Greek or Cyrillic ones
+_MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z\u00c0-\u024f]")
+_INSIDE = re.compile("[A-Za-z][^\x00-\xa0][A-Za-z]|(?:(?![\x00-\xa0])\\w){2}")
+_PARTS = re.compile("[^\n\u2e80-\uffef]+|[^\n\x80-\u024f]+")
+
+
 class Restorer:
     """Finds and undoes wrong decodings in single texts, given a pair model."""
 
@@ -187,14 +209,21 @@ class Restorer:
                 out[-1] = (out[-1][0], max(hi, out[-1][1]), out[-1][2] + v)
             else:
                 out.append((lo, hi, v))
-        return out
+        return [part for span in out for part in self.parts(text, *span)]
+
+    @staticmethod
+    def parts(text: str, lo: int, hi: int, score: float) -> Iterator[tuple[int, int, float]]:
+        """A run cut at line ends and between Latin and East Asian characters, which no one decoding mixes."""
+        for m in _PARTS.finditer(text, lo, hi):
+            if not m.group().isascii():
+                yield m.start(), m.end(), score
 
     def unmap(self, run: str) -> str | None:
         """The run undone if it is UTF-8 read as something else (perhaps several times over), or null."""
         if run in self.known:
             return self.known[run]
-        best, value = None, self.mean(run)
-        for name in READ_AS:
+        best, value = _from_wide(run), self.mean(run)
+        for name in READ_AS if best is None else ():
             raw = _encode(run, name)
             if raw is None:
                 continue
@@ -235,7 +264,7 @@ class Restorer:
                         continue
                     if new not in seen:
                         logs = self.logs(new)[1]
-                        odd = any("\x7f" <= c < "\xa0" for c in new) or (logs < self.rare).mean() >= 0.34 if len(logs) else True
+                        odd = any("\x7f" <= c < "\xa0" for c in new) or _MIXED.search(new) is not None or (logs < self.rare).mean() >= 0.34 if len(logs) else True
                         seen[new] = 0.0 if odd else float(logs.mean()) - old
                     if seen[new] >= GAIN:
                         out[name, right] = (new, seen[new])
@@ -247,8 +276,8 @@ class Restorer:
     def remap(self, runs: list[str]) -> list[str | None]:
         """Runs of one field undone by the one mapping between encodings that explains them best.
 
-        Runs that the mapping does not improve stay; together the others must hold
-        two garbled characters and reach ``SURE`` bits.
+        Runs that the mapping does not improve stay; together the others must gain
+        ``SURE`` bits and change a character inside a word or two that adjoin.
         """
         options = [self.mappings(r) for r in runs]
         total: dict[tuple[str, str], list[float]] = {}
@@ -257,8 +286,8 @@ class Restorer:
             for mapping, (_, gain) in known.items():
                 t = total.setdefault(mapping, [0.0, 0])
                 t[0] += gain * (n + 1)
-                t[1] += n
-        fit = [(t[0], m) for m, t in total.items() if t[0] >= SURE and t[1] >= 2]
+                t[1] += _INSIDE.search(run) is not None
+        fit = [(t[0], m) for m, t in total.items() if t[0] >= SURE and t[1]]
         if not fit:
             return [None] * len(runs)
         best = max(fit, key=lambda x: (x[0], -list(total).index(x[1])))[1]
