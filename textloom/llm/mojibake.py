@@ -315,6 +315,8 @@ class Restorer:
                 fixes = [self.unmap(p) if p and p[0] > "\x7f" else None for p in pieces]
                 if any(f is not None for f in fixes):
                     fixed = "".join(p if f is None else f for p, f in zip(pieces, fixes))
+            if fixed is not None and _MIXED.search(fixed) and not _MIXED.search(text, lo, hi):
+                fixed = None
             new.append(fixed)
         rest = [i for i, n in enumerate(new) if n is None]
         if rest:
@@ -352,10 +354,11 @@ def garbled(documents: DataFrame) -> DataFrame:
     """``(doc_id, field, n_found, n_restored, restored)`` of every garbled ``text`` or ``title``.
 
     ``restored`` is the whole field with the stretches undone that could be; the
-    others stay.  Nulls, empty and pure ASCII fields are sound.  Statistics are
+    others stay.  Nulls, empty and pure ASCII fields are sound; rows without a
+    ``doc_id`` are left out.  Statistics are
     those of the table given, so an empty table gives no rows.
     """
-    docs = spread(documents.select("doc_id", "text", "title"))
+    docs = spread(documents.select("doc_id", "text", "title").where("doc_id IS NOT NULL"))
     odd = docs.where(F.col("text").rlike("[^\\x00-\\x7F]") | F.col("title").rlike("[^\\x00-\\x7F]"))
     fields = docs.select(F.explode(F.array("text", "title")).alias("t"))
     model = documents.sparkSession.sparkContext.broadcast(pair_model(fields))
