@@ -44,6 +44,12 @@ def test_share_of_site_and_ties(spark):
     assert found(spark, [*rows, (100, "http://x.test/", None, None)]) == set()
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(i, "http://x.test/", None, "four times only") for i in range(4)]
+    assert found(spark, rows + rows + [(None, "http://x.test/", None, "four times only")] * 3) == set()
+    assert len(found(spark, rows + rows + [(4, "http://x.test/", None, "four times only")])) == 5
+
+
 def test_long_text_empty_table_and_clashing_columns(spark):
     rows = [(i, "http://x.test/", None, "word " * 60_000 + f"{chr(97 + i)}\nthe same end") for i in range(6)]
     assert {(d, n) for d, n in found(spark, rows)} == {(i, 1) for i in range(6)}

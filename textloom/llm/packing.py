@@ -151,7 +151,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: s
 
     Every text is whole in one container; one above ``capacity`` tokens is split into
     full pieces and a rest.  A null or empty text has no tokens and no container
-    (nulls).  Equal lengths are placed in order of a hash of the id, then the id.
+    (nulls).  A repeated row is a further text.  Equal lengths are placed in order of a hash of the id, then the id.
     """
     sizes = spread(documents.select("doc_id", "text")).mapInArrow(token_counter(tokenizer_path), "doc_id long, n_tokens long")
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")

@@ -121,8 +121,8 @@ def _frequent(counts: DataFrame, sizes: DataFrame, min_docs: int, min_share: flo
 def site_chunks(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, sizes, chunk counts): chunked lines in shared storage, documents per site, documents per chunk."""
     docs = documents.select(site_of(F.col("url"), F.col("source")).alias("name"), "doc_id", "text")
-    docs = docs.where(F.col("name").isNotNull()).select(F.xxhash64("name").alias("site"), "doc_id", "text")
-    sizes = docs.groupBy("site").agg(F.count(F.lit(1)).alias("site_docs"))
+    docs = docs.where("name IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("name").alias("site"), "doc_id", "text")
+    sizes = docs.groupBy("site").agg(F.countDistinct("doc_id").alias("site_docs"))
     lines = materialize(spread(docs).where(F.col("text").isNotNull()).mapInArrow(chunk_lines, _LINES_SQL), "lines")
     # a hot chunk is one counter per map task when it is shuffled
     per_chunk = lines.select("site", F.explode("chunks").alias("chunk")).groupBy("site", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -135,14 +135,14 @@ def repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_share: fl
     A line is a case when it stands in at least ``min_docs`` documents of its site
     and in at least ``min_share`` of them.  Line numbers count all pieces between
     line feeds.  A line repeated inside one document counts once there but every
-    occurrence is listed.  Blank lines, null texts and documents without a site
-    give nothing; ``doc_id`` is unique (a repeated row counts as a further document).
+    occurrence is listed.  Blank lines, null texts and documents without a site or id
+    give nothing; a repeated row is the same document.
     Sites travel as 64-bit hashes of their names, lines as 128-bit hashes.
     """
     lines, sizes, per_chunk = site_chunks(documents)
     hot = _frequent(per_chunk, sizes, min_docs, min_share).select("site", F.col("chunk").alias("anchor"))
     candidates = materialize(lines.select("site", "doc_id", "line_no", "line", "first", "anchor").join(hot, ["site", "anchor"], "left_semi").drop("anchor"), "line-candidates")
-    per_line = candidates.where("first").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
+    per_line = candidates.where("first").select("site", "line", "doc_id").distinct().groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
     cases = _frequent(per_line, sizes, min_docs, min_share).select("site", "line")
     return candidates.join(cases, ["site", "line"], "left_semi").select("doc_id", "line_no").distinct()
 
