@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
@@ -32,8 +32,6 @@ def number(docs: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
     """
     parts = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
     kept = materialize(parts, "numbered")
-    from pyspark.sql import Window
-
     counts = {r["__p"]: r["n"] for r in kept.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, starts = 0, []
     for p in sorted(counts):
@@ -48,7 +46,8 @@ def number(docs: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
 
 def process(pages: DataFrame, full: bool = False) -> DataFrame:
     """Document store ``(doc_id, url, title, text)`` of the pages that hold text, numbered by page_id."""
-    kept = parse_pages(pages, full).where("error IS NULL").drop("error")
+    # parsed once: the range partitioning below samples its input first
+    kept = materialize(parse_pages(pages, full), "parsed").where("error IS NULL").drop("error")
     return number(kept, "page_id").select("doc_id", "url", "title", "text")
 
 

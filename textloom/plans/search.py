@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.plans.index import Index
+from textloom.runtime import materialize
 
 K1 = 1.2
 B = 0.75
@@ -38,7 +39,8 @@ def score(index: Index, query: str | list[str], k1: float = K1, b: float = B) ->
     if not terms:
         return spark.createDataFrame([], SCORES)
     stats = index.corpus_stats.first()
-    hits = index.postings.where(F.col("term").isin(sorted(set(terms))))  # reaches the scan
+    # the filter reaches the scan; the few postings left are read twice below
+    hits = materialize(index.postings.where(F.col("term").isin(sorted(set(terms)))), "hits")
     counts = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # one row a query term
     weight = F.lit(0.0)
     for term, df in sorted(counts.items()):
