@@ -91,24 +91,31 @@ def current_postings(postings: DataFrame) -> DataFrame:
 def adaptive_prefixes(pairs: DataFrame, share: int) -> tuple[dict[str, int], dict[str, int]]:
     """Leaves of the routing trie and the rests of its burst nodes, with their rows.
 
-    A node bursts until it holds at most ``share`` rows.  Children with few rows are
-    not listed one by one but summed as the rest of their parent, so the driver sees
-    at most ``64 * rows / share`` nodes a level whatever the alphabet.  A prefix that
-    is a whole term, or is ``MAX_PREFIX`` long, stays a leaf however large.
+    A node bursts until it holds at most ``share`` rows.  Only prefixes with more than
+    a 64th of that come to the driver, ``64 * rows / share`` a level at most whatever
+    the alphabet; the others stay in the rest of their parent.  A term of its own that
+    exceeds the share makes its node a leaf, and so does the length ``MAX_PREFIX``.
     """
+    terms = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    depth = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(MAX_PREFIX))))
+    each = terms.select("term", "n", depth.alias("k")).select(F.expr("substring(term, 1, k)").alias("p"), "n", F.when(F.col("k") == F.length("term"), F.col("n")).otherwise(0).alias("own"))
+    nodes = each.groupBy("p").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where(F.col("n") * 64 > share)
+    below: dict[str, list[tuple[str, int, int]]] = {}
+    for r in nodes.collect():
+        below.setdefault(r["p"][:-1], []).append((r["p"], r["n"], r["own"]))
     leaves: dict[str, int] = {}
     rests: dict[str, int] = {}
-    open_ = [""]
-    for depth in range(1, MAX_PREFIX + 1):
-        inside = pairs if depth == 1 else pairs.where(F.substring("term", 1, depth - 1).isin(open_))
-        counts = materialize(inside.groupBy(F.substring("term", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")), "prefixes")
-        listed = F.col("n") * 64 > share
-        rests |= {r["up"]: r["n"] for r in counts.where(~listed).groupBy(F.substring("p", 1, depth - 1).alias("up")).agg(F.sum("n").alias("n")).collect()}
-        nodes = {r["p"]: r["n"] for r in counts.where(listed).collect()}
-        open_ = [p for p, n in nodes.items() if n > share and len(p) == depth < MAX_PREFIX]
-        leaves |= {p: n for p, n in nodes.items() if p not in set(open_)}
-        if not open_:
-            break
+    burst = [("", pairs.count(), 0)]
+    while burst:
+        p, n, own = burst.pop()
+        children = below.get(p, [])
+        rest = n - sum(c for _, c, _ in children)
+        (leaves if own > share else rests)[p] = rest
+        for child in children:
+            if child[1] > share and len(child[0]) < MAX_PREFIX:
+                burst.append(child)
+            else:
+                leaves[child[0]] = child[1]
     return leaves, rests
 
 
