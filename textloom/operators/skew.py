@@ -83,29 +83,31 @@ def _task_of(plan: LoadPlan, key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in plan.bins]), _bin(key, plan.n_bins) + 1)
 
 
-def _shards(plan: LoadPlan, key: Column) -> Column:
-    """Array of tasks of a heavy key, else null.  The map is a literal of bounded size."""
+def _placed(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
+    """``df`` with the tasks of its key in ``__shards``, null for a light key.
+
+    The heavy keys are a table of at most ``tasks * HEAVY_PART`` rows, which bounds the broadcast.
+    """
     if not plan.heavy:
-        return F.lit(None).cast("array<int>")
-    pairs = [x for k, v in sorted(plan.heavy.items()) for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))]
-    return F.try_element_at(F.create_map(*pairs), key)
+        return df.withColumn("__shards", F.lit(None).cast("array<int>"))
+    rows = [(k, list(v)) for k, v in sorted(plan.heavy.items())]
+    heavy = df.sparkSession.createDataFrame(rows, "__key string, __shards array<int>")
+    return df.join(F.broadcast(heavy), F.col(key).cast("string") == F.col("__key"), "left").drop("__key")
 
 
 def fragment(df: DataFrame, key: str, plan: LoadPlan, spread_by: list[str]) -> DataFrame:
     """The large side: each row goes to one shard of its key, chosen by a hash of ``spread_by``."""
-    k = F.col(key).cast("string")
-    s = _shards(plan, k)
+    s = F.col("__shards")
     pick = F.element_at(s, (F.pmod(F.xxhash64(*spread_by), F.size(s)) + 1).cast("int"))
-    out = df.withColumn("__task", F.when(s.isNotNull(), pick).otherwise(_task_of(plan, k)))
-    return out.repartitionById(plan.tasks, F.col("__task"))
+    out = _placed(df, key, plan).withColumn("__task", F.when(s.isNotNull(), pick).otherwise(_task_of(plan, F.col(key).cast("string"))))
+    return out.drop("__shards").repartitionById(plan.tasks, F.col("__task"))
 
 
 def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     """The matching side: rows of a split key are copied to that key's tasks, all others go to one."""
-    k = F.col(key).cast("string")
-    s = _shards(plan, k)
-    targets = F.when(s.isNotNull(), F.array_distinct(s)).otherwise(F.array(_task_of(plan, k)))
-    return df.withColumn("__task", F.explode(targets)).repartitionById(plan.tasks, F.col("__task"))
+    s = F.col("__shards")
+    targets = F.when(s.isNotNull(), F.array_distinct(s)).otherwise(F.array(_task_of(plan, F.col(key).cast("string"))))
+    return _placed(df, key, plan).withColumn("__task", F.explode(targets)).drop("__shards").repartitionById(plan.tasks, F.col("__task"))
 
 
 def balanced_counts(pairs: DataFrame, key: str, spread_by: list[str], plan: LoadPlan) -> DataFrame:
