@@ -19,6 +19,7 @@ from textloom.plans.postings_skew import clean_term
 from textloom.runtime import materialize, tasks
 
 MAX_PREFIX = 12
+FIRST_PREFIXES = 3  # lengths counted for all terms; longer ones only below large prefixes
 CONTAINER = 64  # entries of a container before it bursts
 
 
@@ -96,13 +97,22 @@ def adaptive_prefixes(pairs: DataFrame, share: int) -> tuple[dict[str, int], dic
     the alphabet; the others stay in the rest of their parent.  A term of its own that
     exceeds the share makes its node a leaf, and so does the length ``MAX_PREFIX``.
     """
-    terms = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(MAX_PREFIX))))
-    each = terms.select("term", "n", depth.alias("k")).select(F.expr("substring(term, 1, k)").alias("p"), "n", F.when(F.col("k") == F.length("term"), F.col("n")).otherwise(0).alias("own"))
-    nodes = each.groupBy("p").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where(F.col("n") * 64 > share)
+    terms = materialize(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
     below: dict[str, list[tuple[str, int, int]]] = {}
-    for r in nodes.collect():
-        below.setdefault(r["p"][:-1], []).append((r["p"], r["n"], r["own"]))
+    inside = terms
+    for lo, hi in ((1, FIRST_PREFIXES), (FIRST_PREFIXES + 1, MAX_PREFIX)):
+        depth = F.explode(F.sequence(F.lit(lo), F.least(F.length("term"), F.lit(hi))))
+        each = inside.where(F.length("term") >= lo).select("term", "n", depth.alias("k"))
+        each = each.select(F.expr("substring(term, 1, k)").alias("p"), "n", F.when(F.col("k") == F.length("term"), F.col("n")).otherwise(0).alias("own"))
+        nodes = each.groupBy("p").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where(F.col("n") * 64 > share)
+        large = []
+        for r in nodes.collect():
+            below.setdefault(r["p"][:-1], []).append((r["p"], r["n"], r["own"]))
+            if len(r["p"]) == hi and r["n"] > share:
+                large.append(r["p"])
+        if not large:
+            break
+        inside = terms.where(F.substring("term", 1, hi).isin(large))
     leaves: dict[str, int] = {}
     rests: dict[str, int] = {}
     burst = [("", pairs.count(), 0)]
