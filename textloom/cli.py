@@ -14,7 +14,7 @@ from textloom.plans import crawl as C
 from textloom.plans import index as I
 from textloom.plans import process as P
 from textloom.plans import search as S
-from textloom.sources import readers
+from textloom.sources import http, readers
 
 
 @contextmanager
@@ -25,9 +25,14 @@ def timed(label: str):
 
 
 def _crawl(spark: SparkSession, a: argparse.Namespace) -> None:
-    stored = spark.read.parquet(a.responses)
-    answers = stored.select("url", F.col("status_code").alias("status"), "body", "final_url", "content_type")
-    pages = C.crawl(readers.seeds(spark, a.seeds), C.table_fetcher(answers), config=C.CrawlConfig(max_pages=a.max_pages))
+    seeds = readers.seeds(spark, a.seeds)
+    if a.responses:
+        stored = spark.read.parquet(a.responses)
+        fetch = C.table_fetcher(stored.select("url", F.col("status_code").alias("status"), "body", "final_url", "content_type"))
+    else:
+        live = C.http_fetcher(http.get)
+        fetch = lambda urls: live(urls.repartition(a.threads))
+    pages = C.crawl(seeds, fetch, C.fetched_rules(seeds, fetch), C.CrawlConfig(max_pages=a.max_pages))
     pages.write.mode("overwrite").parquet(a.output)
 
 
@@ -69,8 +74,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="textloom")
     verbs = p.add_subparsers(dest="verb", required=True)
     v = verbs.add_parser("crawl")
-    v.add_argument("--seeds", required=True), v.add_argument("--responses", required=True), v.add_argument("--output", default="pages")
-    v.add_argument("--max-pages", type=int, default=100)
+    v.add_argument("--seeds", required=True), v.add_argument("--responses"), v.add_argument("--output", default="pages")
+    v.add_argument("--max-pages", type=int, default=100), v.add_argument("--threads", type=int, default=8)
     v.set_defaults(run=_crawl)
     v = verbs.add_parser("process")
     v.add_argument("--input", required=True), v.add_argument("--output", required=True), v.add_argument("--parquet", action="store_true")

@@ -66,6 +66,14 @@ def http_fetcher(get: Callable[[str], tuple[int, str, str, str]]) -> Fetcher:
     return fetch
 
 
+def fetched_rules(urls: DataFrame, fetch: Fetcher) -> DataFrame:
+    """Rules of the hosts of ``urls`` from ``https://<host>/robots.txt``; any failure or status but 200 allows all."""
+    hosts = urls.select(U.domain(F.col("url")).alias("domain")).where("domain <> ''").distinct()
+    asked = hosts.withColumn("url", F.concat(F.lit("https://"), "domain", F.lit("/robots.txt")))
+    answers = fetch(asked.select("url")).where("status = 200 AND error IS NULL").select("url", "body")
+    return R.parse_rules(asked.join(answers, "url", "left").select("domain", F.col("body").alias("robots_txt")))
+
+
 def is_page(df: DataFrame) -> DataFrame:
     return df.where((F.col("status") == 200) & F.contains(F.col("content_type"), F.lit("text/html")))
 
