@@ -14,6 +14,7 @@ from textloom.plans import crawl as C
 from textloom.plans import index as I
 from textloom.plans import process as P
 from textloom.plans import search as S
+from textloom.runtime import ship
 from textloom.sources import http, readers
 
 
@@ -96,6 +97,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("textloom").getOrCreate()
+    ship(spark)
     with timed(args.verb):
         return args.run(spark, args) or 0
 

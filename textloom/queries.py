@@ -18,7 +18,7 @@ from textloom.plans import index as I
 from textloom.plans import postings_skew
 from textloom.plans import process as P
 from textloom.plans import search as S
-from textloom.runtime import spread, table
+from textloom.runtime import shipped, spread, table
 from textloom.sources import readers
 from textloom.sql import SQL
 
@@ -374,7 +374,7 @@ def p2_document_results(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    return {name: shipped(f) for name, f in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,40 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, so that no path needs to be set there.
+
+    The archive lies in the shared folder, or beside the driver where that folder is no file system path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    shared = shared_dir(spark)
+    folder = shared.removeprefix("file://") if shared.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="textloom-")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, f"textloom-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._textloom_shipped = True
+
+
+def shipped(query):
+    """A registered query that sends the package first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
