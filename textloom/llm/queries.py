@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import leakage, main_body, mojibake, packing, residue, shared_spans, site_lines, term_counts
-from textloom.runtime import table
+from textloom.runtime import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,7 +142,7 @@ _QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: shipped(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
