@@ -45,3 +45,25 @@ def test_empty_table_and_clashing_columns(spark):
 def test_maximal_segments():
     assert M.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
     assert M.maximal_segments([]) == [] and M.maximal_segments([-1, -2]) == []
+
+
+def test_frequent_garbling_is_not_normal(spark):
+    import random
+
+    def outcome(every):
+        r, rows = random.Random(3), {}
+        for i in range(1200):
+            words = SOUND[i % 5].split()
+            r.shuffle(words)
+            text, title = " ".join(words * 3), " ".join(words[:6])
+            rows[i] = (text, title)
+        bad = {i for i in rows if i % every == 0}
+        wrong = lambda t: t.encode().decode("latin-1")
+        df = spark.createDataFrame([(i, *map(wrong, x)) if i in bad else (i, *x) for i, x in rows.items()], SCHEMA)
+        got = {(r.doc_id, r.field): r.restored for r in M.garbled(df).collect()}
+        return got, {(i, f): x[k] for i, x in rows.items() for k, f in enumerate(("text", "title")) if i in bad and not x[k].isascii()}
+
+    for every in (3, 1):
+        got, true = outcome(every)
+        assert set(got) == set(true), every
+        assert sum(got[k] == v for k, v in true.items()) >= 0.95 * len(true)

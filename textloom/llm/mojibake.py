@@ -10,6 +10,9 @@
    one) are tried inside those runs only and accepted where they decode and the
    corpus finds the outcome clearly more probable.  A run with replacement
    characters or stranded lead bytes inside words is garbled beyond repair.
+4. Every other non-ASCII stretch that strictly decodes as UTF-8 is tested too, against
+   a reference counted without any such stretch, so that frequent garbling does not
+   pass for normal.
 """
 
 from __future__ import annotations
@@ -70,6 +73,80 @@ def _encode(run: str, name: str) -> bytes | None:
         return None
 
 
+_STRETCH = re.compile("[^\x00-\x7f]+")
+_EDGES = "“”‘’‚„«»‹›–—…¿¡"
+# encodings by the characters that stand for the first byte of a UTF-8 sequence; those of several bytes have East Asian ones there
+_LEADS: dict[str, list[str]] = {}
+for _n, _table in _SINGLE.items():
+    for _c, _i in _table.items():
+        if 0xC2 <= _i <= 0xF4:
+            _LEADS.setdefault(chr(_c), []).append(_n)
+
+
+def decodings(stretch: str) -> dict[str, str]:
+    """Outcomes of all inverse mappings under which a whole non-ASCII stretch strictly is UTF-8."""
+    out: dict[str, str] = {}
+    for name in [*_LEADS.get(stretch[0], ()), *(MULTI if stretch[0] >= "\u2e80" else ())]:
+        raw = _encode(stretch, name)
+        if raw is None:
+            continue
+        try:
+            new = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if new != stretch and "\x00" not in new:
+            out[name] = new
+    return out
+
+
+class Stretches:
+    """Non-ASCII stretches of texts that strictly decode, with what they decode to."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, int, dict[str, str]] | None] = {}
+
+    def look(self, stretch: str) -> tuple[int, int, dict[str, str]] | None:
+        """(from, to, outcomes) in a stretch: as a whole, or without the sound quotes and dashes around it."""
+        if stretch in self.known:
+            return self.known[stretch]
+        lo, hi = 0, len(stretch)
+        found = decodings(stretch)
+        if not found and (inner := stretch.strip(_EDGES)) and inner != stretch:
+            lo = stretch.index(inner)
+            hi = lo + len(inner)
+            found = decodings(inner)
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[stretch] = out = (lo, hi, found) if found else None
+        return out
+
+    def certain(self, text: str) -> str | None:
+        """The text undone if all its stretches, three different ones at least, decode under one mapping, which no sound text does."""
+        names: set[str] | None = None
+        stretches = set(_STRETCH.findall(text))
+        for x in stretches if len(stretches) >= 3 else ():
+            hit = self.look(x)
+            names = set() if hit is None else set(hit[2]) if names is None else names & set(hit[2])
+            if not names:
+                return None
+        if not names:
+            return None
+        name = min(names, key=READ_AS.index)
+        parts, done = [], 0
+        for lo, hi, outcomes in self.find(text):
+            parts += [text[done:lo], outcomes[name]]
+            done = hi
+        new = "".join([*parts, text[done:]])
+        return self.certain(new) or new
+
+    def find(self, text: str) -> Iterator[tuple[int, int, dict[str, str]]]:
+        for m in _STRETCH.finditer(text):
+            if m.end() - m.start() > 1 or m.group() >= "\u2e80":
+                hit = self.look(m.group())
+                if hit is not None:
+                    yield m.start() + hit[0], m.start() + hit[1], hit[2]
+
+
 # letter case is no evidence, so the case of characters under 0x2000 is folded one by one
 _FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0x2000)], np.uint32)
 
@@ -101,34 +178,58 @@ def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-_COUNTS = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("plain", pa.int64())])
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of adjacent pairs with a non-ASCII character, summed per task; slot -1 counts all pairs."""
-    table, total = np.zeros(1 << BITS, np.int64), 0
+    """Counts of adjacent pairs with a non-ASCII character, summed per task; slot -1 counts all pairs.
+
+    ``plain`` leaves out the pairs of stretches that strictly decode as UTF-8; texts that
+    are certain to be garbled count there as they were.
+    """
+    table, plain, total = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
+    stretches = Stretches()
     for _, texts in chunks_of(batches, 0, _CHUNK):
-        s = folded("\n".join(t for t in texts if t))
+        joined = "\n".join(t for t in texts if t)
+        s = folded(joined)
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
-        table += np.bincount(pair_slots(s[at], s[at + 1]), minlength=1 << BITS)
+        slots = pair_slots(s[at], s[at + 1])
+        table += np.bincount(slots, minlength=1 << BITS)
         total += len(s)
-    slots = np.flatnonzero(table)
-    yield batch(_COUNTS, np.append(slots, -1), np.append(table[slots], total))
+        kept = np.ones(len(s), bool)
+        for lo, hi, _ in stretches.find(joined):
+            kept[max(lo - 1, 0) : hi] = False
+        plain += np.bincount(slots[kept[at]], minlength=1 << BITS)
+        if not kept.all():
+            undone = [new for t in texts if t and (new := stretches.certain(t))]
+            s = folded("\n".join(undone))
+            high = s > 127
+            at = np.flatnonzero(high[1:] | high[:-1])
+            plain += np.bincount(pair_slots(s[at], s[at + 1]), minlength=1 << BITS)
+    slots = np.flatnonzero(table + plain)
+    yield batch(_COUNTS, np.append(slots, -1), np.append(table[slots], total), np.append(plain[slots], total))
+
 
+Model = tuple[np.ndarray, float, float, np.ndarray]
 
-def pair_model(fields: DataFrame) -> tuple[np.ndarray, float, float]:
-    """log2 share of each slot over all fields, and the limits of improbable and rare pairs.
+
+def pair_model(fields: DataFrame) -> Model:
+    """log2 share of each slot over all fields, the limits of improbable and rare pairs, and the shares without strictly decodable stretches.
 
     In a small corpus pairs seen up to three times are improbable and unseen ones rare,
-    whatever their share.  The driver holds at most 2**BITS numbers.
+    whatever their share.  The driver holds at most twice 2**BITS numbers.
     """
-    counts = fields.mapInArrow(count_pairs, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = fields.mapInArrow(count_pairs, "slot long, n long, plain long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")).toPandas()
     total = max(1, int(counts.n[counts.slot == -1].sum()))
-    table = np.zeros(1 << BITS)
     seen = counts[counts.slot >= 0]
-    table[seen.slot.to_numpy(np.int64)] = seen.n.to_numpy(float)
-    return np.log2((table + 0.5) / total).astype(np.float32), max(LIMIT, float(np.log2(4 / total))), max(RARE, float(np.log2(1 / total)))
+
+    def shares(numbers) -> np.ndarray:
+        table = np.zeros(1 << BITS)
+        table[seen.slot.to_numpy(np.int64)] = numbers.to_numpy(float)
+        return np.log2((table + 0.5) / total).astype(np.float32)
+
+    return shares(seen.n), max(LIMIT, float(np.log2(4 / total))), max(RARE, float(np.log2(1 / total))), shares(seen.plain)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -166,10 +267,12 @@ _PARTS = re.compile("[^\n\u2e80-\uffef]+|[^\n\x80-\u024f]+")
 class Restorer:
     """Finds and undoes wrong decodings in single texts, given a pair model."""
 
-    def __init__(self, model: tuple[np.ndarray, float, float]):
-        self.model, self.limit, self.rare = model
+    def __init__(self, model: Model):
+        self.model, self.limit, self.rare, self.reference = model
+        self.stretches = Stretches()
         self.known: dict[str, str | None] = {}
         self.mapped: dict[str, dict[tuple[str, str], tuple[str, float]]] = {}
+        self.decoded: dict[tuple[bool, str], str | None] = {}
 
     def logs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         s = folded(text)
@@ -302,10 +405,58 @@ class Restorer:
             hi -= 1
         return hi - lo <= 12 and lo > 0 and hi < len(text) and _QUOTES.get(text[lo - 1]) == text[hi]
 
+    def weight(self, text: str) -> float:
+        """Mean log2 share in the reference of the pairs with a non-ASCII character."""
+        s = folded(text)
+        high = s > 127
+        at = np.flatnonzero(high[1:] | high[:-1])
+        return float(self.reference[pair_slots(s[at], s[at + 1])].mean()) if len(at) else self.rare / 2
+
+    def deepest(self, outcomes: dict[str, str]) -> list[str]:
+        """The outcomes of a strict decoding and of those nested in it; each step is shorter, so this ends."""
+        out, todo = dict.fromkeys(outcomes.values()), list(outcomes.values())
+        while todo:
+            new = todo.pop()
+            for more in decodings(new).values() if _STRETCH.fullmatch(new) else ():
+                if more not in out:
+                    out[more] = None
+                    todo.append(more)
+        return list(out)
+
+    @staticmethod
+    def replaced(text: str, pieces: list[tuple[int, int, str]]) -> str:
+        parts, done = [], 0
+        for lo, hi, new in pieces:
+            parts += [text[done:lo], new]
+            done = hi
+        return "".join([*parts, text[done:]]) if parts else text
+
+    def strict(self, text: str) -> list[tuple[int, int, str]]:
+        """Stretches that strictly decode to what the reference finds clearly more probable."""
+        out = []
+        for lo, hi, outcomes in self.stretches.find(text):
+            if self.quoted(text, lo, hi):
+                continue
+            before, after = text[max(lo - 1, 0) : lo], text[hi : hi + 1]
+            key = text[max(lo - 1, 0) : hi + 1]
+            if (lo > 0, key) not in self.decoded:
+                if len(self.decoded) > 200_000:
+                    self.decoded.clear()
+                options = [(self.weight(before + new + after), new) for new in self.deepest(outcomes)]
+                value, new = max(options, key=lambda x: x[0])
+                sound = value - self.weight(key) < GAIN or (_MIXED.search(before + new + after) is not None and _MIXED.search(key) is None)
+                self.decoded[lo > 0, key] = None if sound else new
+            new = self.decoded[lo > 0, key]
+            if new is not None:
+                out.append((lo, hi, new))
+        return out
+
     def restore(self, text: str | None) -> tuple[int, int, str | None]:
         """(stretches found, stretches restored, text with them restored)."""
         if not text or text.isascii():
             return 0, 0, text
+        first = self.strict(text)
+        text = self.replaced(text, first)
         spans = [(lo, hi) for lo, hi, _ in self.runs(text) if not self.quoted(text, lo, hi)]
         new: list[str | None] = []
         for lo, hi in spans:
@@ -323,18 +474,15 @@ class Restorer:
             for i, n in zip(rest, self.remap([text[slice(*spans[i])] for i in rest])):
                 new[i] = n
         lost = sum(not self.quoted(text, m.start(), m.end()) for m in _LOST.finditer(text))
-        parts, done, undone = [], 0, 0
-        for (lo, hi), n in zip(spans, new):
-            if n is not None:
-                parts += [text[done:lo], n]
-                done, undone = hi, undone + 1
-        return undone + lost, undone, "".join([*parts, text[done:]]) if parts else text
+        then = [(lo, hi, n) for (lo, hi), n in zip(spans, new) if n is not None]
+        undone = len(first) + len(then)
+        return undone + lost, undone, self.replaced(text, then)
 
 
 _FIXED = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("n_found", pa.int32()), ("n_restored", pa.int32()), ("restored", pa.string())])
 
 
-def restorer(model: tuple[np.ndarray, float, float]):
+def restorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Restorer(model)
         for b in batches:
