@@ -82,3 +82,27 @@ def test_simhash_of_equal_and_near_texts():
     assert a == b != c
     many = [f"w{i} x{i % 7} y" for i in range(9000)]
     assert R.simhashes(many).tolist() == [R.simhashes([t]).tolist()[0] for t in many[:50]] + R.simhashes(many[50:]).tolist()
+
+
+def test_labels_spread_to_every_near_duplicate(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    texts, near = {}, set()
+    for n in (13, 20, 30, 50, 80):
+        for _ in range(60):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            b[r.choice((0, 1, 2, n - 1, n - 2, n // 2))] = word()
+            key = len(texts)
+            texts[key], texts[key + 1] = " ".join(a), " ".join(b)
+            if jaccard(shingles(a), shingles(b)) >= 0.8:
+                near.add(key + 1)
+    keys = sorted(texts)
+    sims = R.simhashes([texts[k] for k in keys]).tolist()
+    trusted = {k - 1 for k in near}
+    units = spark.createDataFrame([(k, s, k in trusted) for k, s in zip(keys, sims)], "key long, simhash long, trusted boolean")
+    masked = spark.createDataFrame(list(texts.items()), "key long, masked string")
+    assert len(near) >= 150
+    assert {x.key for x in R.spread_labels(units, masked).collect()} == trusted | near

@@ -3,8 +3,8 @@
 Documents are read as units: the sentences of their lines, with numbers, paths and
 codes masked.  Units that match a trusted pattern are labelled; the labels
 spread to near-duplicates and on from those through connected components, found
-with SimHash tables partitioned by block and verified by Hamming distance and by the
-similarity of five-word shingles.  A document is residue where all units of its main
+with a prefix filter on five-word shingles, which misses no pair of the similarity
+asked for, and verified by the shingles themselves.  A document is residue where all units of its main
 body carry a label, or where a slot was left unfilled or a value unset.
 """
 
@@ -23,7 +23,6 @@ from textloom.llm import main_body
 from textloom.llm.common import batch, mix
 from textloom.runtime import materialize, spread
 
-HAMMING = 3  # with four blocks of 16 bits, one block of a near-duplicate is equal
 SIMILARITY = 0.8
 SHINGLE = 5
 
@@ -107,16 +106,20 @@ def has_slot(sentence: str) -> bool:
 _CACHE: dict[str, int] = {}
 
 
-def simhashes(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash of each text over its pairs of adjacent words, the last one with the end."""
-    if not texts:
-        return np.empty(0, np.int64)
+def _word_hashes(texts: list[str]) -> np.ndarray:
     if len(_CACHE) > 500_000:
         _CACHE.clear()
     words = " ".join(texts).split(" ")
     for w in set(words) - _CACHE.keys():
         _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_CACHE[w] for w in words], np.uint64)
+    return np.array([_CACHE[w] for w in words], np.uint64)
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHash of each text over its pairs of adjacent words, the last one with the end."""
+    if not texts:
+        return np.empty(0, np.int64)
+    h = _word_hashes(texts)
     size = np.array([t.count(" ") + 1 for t in texts])
     ends = np.cumsum(size)
     out = np.empty(len(texts), np.uint64)
@@ -132,8 +135,54 @@ def simhashes(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("key", pa.int64()), ("slot", pa.bool_()), ("trusted", pa.bool_()), ("masked", pa.string()), ("simhash", pa.int64())])
-_UNITS_SQL = "doc_id long, line_no long, key long, slot boolean, trusted boolean, masked string, simhash long"
+def prefixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of the shingles in each text's prefix.
+
+    Texts of Jaccard similarity ``SIMILARITY`` share all but a fifth of either's n
+    shingles at most, so they have one in common among the first n - ceil(0.8 n) + 1
+    of both in the order of the hashes.  Texts under ``SHINGLE`` words have none here:
+    they are one shingle as a whole, which only an equal text has.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    if not texts:
+        return none
+    h = _word_hashes(texts)
+    size = np.array([t.count(" ") + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), size)
+    if len(h) < SHINGLE:
+        return none
+    m = len(h) - SHINGLE + 1
+    w = h[:m].copy()
+    for i in range(1, SHINGLE):
+        w = mix(w) * np.uint64(3) + h[i : m + i]
+    w = mix(w)
+    inside = owner[:m] == owner[SHINGLE - 1 :]
+    w, owner = w[inside], owner[:m][inside]
+    if not len(w):
+        return none
+    order = np.lexsort((w, owner))
+    w, owner = w[order], owner[order]
+    new = np.append(True, (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))
+    w, owner = w[new], owner[new]
+    n = np.bincount(owner, minlength=len(texts))
+    rank = np.arange(len(w)) - (np.cumsum(n) - n)[owner]
+    kept = rank < (n - (4 * n + 4) // 5 + 1)[owner]  # in whole numbers: 0.8 n rounded up
+    return owner[kept], w[kept].view(np.int64)
+
+
+_PREFIX = pa.schema([("key", pa.int64()), ("v", pa.int32())])
+
+
+def read_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per unit and prefix shingle of (key, masked) rows; half of the hash will do to find candidates."""
+    for b in batches:
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        owner, w = prefixes(b.column(1).to_pylist())
+        yield batch(_PREFIX, keys[owner], (w >> 32).astype(np.int32))
+
+
+_UNITS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("key", pa.int64()), ("slot", pa.bool_()), ("trusted", pa.bool_()), ("masked", pa.string())])
+_UNITS_SQL = "doc_id long, line_no long, key long, slot boolean, trusted boolean, masked string"
 
 
 def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +228,8 @@ def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(key)
                     likely = "trusted" in kinds or "latin" in kinds or _AT_START.match(r) is not None
                     add(doc, no, key, slot, likely and trusted(r), unit)
-        if not doc_ids:
-            continue
-        at = [i for i, t in enumerate(texts) if t is not None]
-        sims: list = [None] * len(texts)
-        for i, s in zip(at, simhashes([texts[i] for i in at]).tolist()):
-            sims[i] = s
-        yield batch(_UNITS, doc_ids, lines, keys, slots, oks, texts, sims)
-
-
-def _tables(units: DataFrame) -> DataFrame:
-    """SimHash tables: a row per unit and 16-bit block, to be joined on (block number, block)."""
-    blocks = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(0xFFFF).alias("v")) for i in range(4)])
-    return units.select("key", "simhash", F.explode(blocks).alias("b")).select("key", "simhash", "b.t", "b.v")
+        if doc_ids:
+            yield batch(_UNITS, doc_ids, lines, keys, slots, oks, texts)
 
 
 def _shingles(text: str):
@@ -203,27 +241,26 @@ def _shingles(text: str):
 def spread_labels(units: DataFrame, texts: DataFrame) -> DataFrame:
     """Keys of all units in a connected component of near-duplicates that holds a trusted one.
 
-    ``units`` is (key, simhash, trusted), ``texts`` (key, masked).  Grows from the
-    trusted units: each round joins what was labelled last with the SimHash tables,
-    until a round adds nothing.  Components without a trusted unit are never built.
+    ``units`` is (key, trusted), ``texts`` (key, masked).  Grows from the trusted
+    units: each round joins the prefixes of what was labelled last with those of the
+    unlabelled rest, until a round adds nothing.  Components without a trusted unit
+    are never built.
     """
-    latest = materialize(units.where("trusted").select("key", "simhash"), "labels")
-    labels = latest.select("key")
+    latest = materialize(units.where("trusted").select("key").distinct(), "labels")
+    labels = latest
+    table = materialize(texts.select("key", "masked").mapInArrow(read_prefixes, "key long, v int"), "prefixes")
     while True:
-        a, b = _tables(latest).alias("a"), _tables(units).alias("b")
-        near = b.join(a, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.key") != F.col("b.key")))
-        near = near.where(F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= HAMMING)
-        near = near.select(F.col("a.key").alias("old"), F.col("b.key").alias("key"), F.col("b.simhash").alias("simhash")).distinct()
-        near = materialize(near.join(labels, "key", "left_anti"), "near")
+        old = table.join(latest, "key", "left_semi").select(F.col("key").alias("old"), "v").distinct()
+        near = materialize(table.join(labels, "key", "left_anti").join(old, "v").select("old", "key").distinct(), "near")
         needed = near.select("key").unionByName(near.select(F.col("old").alias("key"))).distinct()
         known = materialize(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("masked").alias("masked")), "near-texts")
         both = near.join(known, "key").join(known.withColumnsRenamed({"key": "old", "masked": "other"}), "old")
         x, y = _shingles("masked"), _shingles("other")
         alike = F.size(F.array_intersect(x, y)) >= F.lit(SIMILARITY) * F.size(F.array_union(x, y))
-        latest = materialize(both.where(alike).select("key", "simhash").dropDuplicates(["key"]), "labels")
+        latest = materialize(both.where(alike).select("key").distinct(), "labels")
         if latest.isEmpty():
             return labels
-        labels = labels.unionByName(latest.select("key"))
+        labels = labels.unionByName(latest)
 
 
 def residue_units(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +268,7 @@ def residue_units(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = spread(documents.select("doc_id", "title", "text").where("doc_id IS NOT NULL"))
     rows = materialize(docs.mapInArrow(read_units, _UNITS_SQL), "units")
     firsts = rows.where("masked IS NOT NULL")
-    distinct = materialize(firsts.groupBy("key").agg(F.first("simhash").alias("simhash"), F.max("trusted").alias("trusted")), "distinct-units")
+    distinct = materialize(firsts.groupBy("key").agg(F.max("trusted").alias("trusted")), "distinct-units")
     return rows, spread_labels(distinct, firsts.select("key", "masked"))
 
 
