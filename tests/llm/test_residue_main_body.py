@@ -106,3 +106,11 @@ def test_labels_spread_to_every_near_duplicate(spark):
     masked = spark.createDataFrame(list(texts.items()), "key long, masked string")
     assert len(near) >= 150
     assert {x.key for x in R.spread_labels(units, masked).collect()} == trusted | near
+
+
+def test_long_notices_are_furniture(spark):
+    notice = " ".join(["We and our partners store and read information on your device to measure how the pages are used"] * 3) + "."
+    assert len(notice) > B.SHORT
+    pages = [(900 + i, f"http://one.test/n{i}", None, f"T{i}", f"{prose(400 + i)}\n{notice}") for i in range(12)]
+    got = {tuple(r) for r in B.furniture_lines(*tables(spark, pages)).collect()}
+    assert {(d, n) for o, d, n in got if d >= 900} == {(900 + i, 1) for i in range(12)}
