@@ -114,3 +114,14 @@ def test_long_notices_are_furniture(spark):
     pages = [(900 + i, f"http://one.test/n{i}", None, f"T{i}", f"{prose(400 + i)}\n{notice}") for i in range(12)]
     got = {tuple(r) for r in B.furniture_lines(*tables(spark, pages)).collect()}
     assert {(d, n) for o, d, n in got if d >= 900} == {(900 + i, 1) for i in range(12)}
+
+
+def line_table(spark, rows):
+    return spark.createDataFrame([("documents", d, s, k, True, x) for d, s, k, x in rows], "origin string, record_id long, site long, key long, short boolean, line string")
+
+
+def test_even_counts_do_not_cancel(spark):
+    rows = [(d, 1, d, f"{'alpha' if d < 4 else 'beta'} p{d}") for d in range(8) for _ in range(2)]
+    assert B._template_coverage(line_table(spark, rows)).count() == 0
+    sums = spark.createDataFrame([(2**63 - 1,), (2**63 - 1,), (-(2**63),), (-5,)], "v long").agg(B._wrapping_sum("v").alias("s")).first().s
+    assert (sums - (2 * (2**63 - 1) - 2**63 - 5)) % 2**64 == 0
