@@ -125,3 +125,10 @@ def test_even_counts_do_not_cancel(spark):
     assert B._template_coverage(line_table(spark, rows)).count() == 0
     sums = spark.createDataFrame([(2**63 - 1,), (2**63 - 1,), (-(2**63),), (-5,)], "v long").agg(B._wrapping_sum("v").alias("s")).first().s
     assert (sums - (2 * (2**63 - 1) - 2**63 - 5)) % 2**64 == 0
+
+
+def test_share_of_exact_pages(spark):
+    rows = [(d, s, d if d >= 40 else -1 - s, f"u{s}x{d}" if d >= 40 else f"t{s}") for s in range(10) for d in range(1000)]
+    got = {(r.site, r.key) for r in B._template_coverage(line_table(spark, rows)).collect()}
+    assert got == {(s, -1 - s) for s in range(10)}
+    assert B._template_coverage(line_table(spark, [*rows, *[(1000, s, 1000, f"u{s}x1000") for s in range(10)]])).count() == 0
