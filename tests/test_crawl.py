@@ -72,3 +72,7 @@ def test_fetch_errors_are_values(spark):
 
     rows = C.http_fetcher(get)(spark.createDataFrame([("http://a/bad",), ("http://a/ok",)], "url string")).collect()
     assert {r.url: (r.status, r.error) for r in rows} == {"http://a/bad": (None, "TimeoutError"), "http://a/ok": (200, None)}
+
+
+def test_crawl_has_no_depth_limit():
+    assert C.CrawlConfig().max_rounds is None

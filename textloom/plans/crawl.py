@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ Fetcher = Callable[[DataFrame], DataFrame]
 @dataclass(frozen=True)
 class CrawlConfig:
     max_pages: int = 100
-    max_rounds: int = 50
+    max_rounds: int | None = None  # by default until the budget or the frontier is used up
     delay_ms: int = Q.DELAY_MS
 
 
@@ -94,7 +95,7 @@ def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | None = None, conf
     """
     front = materialize(Q.push(None, seeds), "frontier")
     seen, done, crawled = front.select("url"), None, 0
-    for round_ in range(config.max_rounds):
+    for round_ in count() if config.max_rounds is None else range(config.max_rounds):
         ready = R.allowed(front, rules) if rules is not None else front
         ordered = Q.schedule(ready, config.delay_ms).orderBy("ready_ms", "seq", "url").limit(config.max_pages - crawled)
         got = materialize(is_page(fetch(ordered.select("url"))).join(ordered.select("url", "ready_ms", "seq"), "url"), "fetched")

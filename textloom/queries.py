@@ -337,7 +337,7 @@ def crawl_bfs(spark, d):
     r = table(spark, d, "http_responses")
     seeds = r.where("url IS NOT NULL").groupBy("url").agg(F.min("response_id").alias("seq"))
     answers = r.select("url", F.col("status_code").alias("status"), "body", "final_url", "content_type")
-    return C.crawl(seeds, C.table_fetcher(answers), R.parse_rules(_robots(spark, d)), C.CrawlConfig(max_pages=10**6, max_rounds=4))
+    return C.crawl(seeds, C.table_fetcher(answers), R.parse_rules(_robots(spark, d)), C.CrawlConfig(max_pages=10**6))
 
 
 # wiki dump
