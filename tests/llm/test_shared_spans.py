@@ -61,3 +61,57 @@ def test_empty(spark):
 def test_extra_columns(spark):
     df = frame(spark, texts()).selectExpr("*", "1 AS h", "2 AS start", "3 AS rep")
     assert {tuple(r) for r in S.sharing_pairs(df).collect()} == brute(texts())
+
+
+def planted(n=400, seed=11):
+    """Texts of which every fourth shares a span of 300 to 600 characters with an earlier one."""
+    r = random.Random(seed)
+    rand = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz .\n") for _ in range(k))
+    rows = []
+    for i in range(n):
+        t = rand(r.randrange(200, 2500))
+        if i % 4 == 3:
+            other = r.choice(rows)[1]
+            if len(other) > 320:
+                at = r.randrange(0, len(other) - 310)
+                t = t[: len(t) // 2] + other[at : at + r.randrange(300, 600)] + t[len(t) // 2 :]
+        rows.append((i, t))
+    return rows
+
+
+def test_joins_turned_into_broadcasts_while_running(spark, monkeypatch):
+    """Buckets stay whole when the session re-plans joins at run time."""
+    monkeypatch.setattr(S, "HOT", 2)
+    rows = planted()
+    rows += [(len(rows) + i, "%d" % i * 50 + rows[0][1] + rows[1][1]) for i in range(3)]
+    df = frame(spark, rows).repartition(8)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "100m", "adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0", "adaptive.coalescePartitions.enabled": "false"}
+    conf = {f"spark.sql.{k}": v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert {tuple(r) for r in S.sharing_pairs(df).collect()} == brute(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_classes(spark):
+    rows = texts()
+    pairs, text = brute(rows), dict(rows)
+    want = {}
+    for d in {x for p in pairs for x in p}:
+        partners = {a if b == d else b for a, b in pairs if d in (a, b)}
+        want[d] = (min(x for x in partners | {d} if text[x] == text[d]), len({text[x] for x in partners} - {text[d]}))
+    assert {r.doc_id: (r.class_id, r.links) for r in S.span_classes(frame(spark, rows)).collect()} == want
+    assert S.span_classes(frame(spark, [])).count() == 0
+
+
+def test_buckets_are_placed_by_their_own_exchange(spark, monkeypatch):
+    seen = []
+    place = S.placed
+    monkeypatch.setattr(S, "placed", lambda df: seen.append(place(df)) or seen[-1])
+    S.shared_runs(frame(spark, texts()))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Join" not in plan

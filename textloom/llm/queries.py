@@ -80,6 +80,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.span_classes(table(spark, d, "documents"))
+
+
 def p9_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(table(spark, d, "documents"))
 
@@ -117,7 +121,24 @@ iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FRO
 ds AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
 items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM ds JOIN items USING (s)"""
+# windows of one record of each text; positions count from 1
+_WINDOWS = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS copies FROM t),
+w AS (SELECT rep, i, md5(substring(text, i, 300)) AS w FROM (SELECT rep, text, unnest(range(1, length(text) - 298)) AS i FROM c WHERE doc_id = rep)),
+s AS (SELECT w FROM w GROUP BY w HAVING count(DISTINCT rep) > 1),
+found AS (SELECT rep, i, w FROM w JOIN s USING (w)),
+links AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT DISTINCT rep, w FROM found) x JOIN (SELECT DISTINCT rep, w FROM found) y USING (w) WHERE x.rep <> y.rep)
+"""
 _SQL = {
+    "p9_found": _WINDOWS + """SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM links JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE x.doc_id < y.doc_id
+UNION SELECT x.doc_id, y.doc_id FROM c x JOIN c y USING (rep) WHERE x.doc_id < y.doc_id""",
+    "p9_shared_share": _WINDOWS + """, gaps AS (SELECT rep, least(300, coalesce(lead(i) OVER (PARTITION BY rep ORDER BY i) - i, 300)) AS g FROM found),
+covered AS (SELECT rep, CAST(sum(g) AS BIGINT) AS covered FROM gaps GROUP BY rep),
+shared AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CASE WHEN copies > 1 THEN length(text) ELSE covered END AS shared_chars FROM c LEFT JOIN covered USING (rep) WHERE copies > 1 OR covered IS NOT NULL)
+SELECT doc_id, n_chars, CAST(shared_chars AS BIGINT) AS shared_chars, shared_chars / n_chars AS share FROM shared""",
+    "p9_classes": _WINDOWS + """, n AS (SELECT a AS rep, count(*) AS links FROM links GROUP BY a)
+SELECT doc_id, rep AS class_id, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (rep) WHERE copies > 1 OR links IS NOT NULL""",
     "p8_found": _PHRASES,
     "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_term_counts": _TERMS + "SELECT term, total_freq, n_docs, mark FROM marked",
@@ -137,7 +158,7 @@ _QUERIES: dict[str, Query] = {
     "p6_found": p6_found, "p6_main_body": p6_main_body,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_leak_spans": p8_leak_spans,
-    "p9_found": p9_found, "p9_shared_share": p9_shared_share,
+    "p9_found": p9_found, "p9_classes": p9_classes, "p9_shared_share": p9_shared_share,
 }
 
 

@@ -93,17 +93,17 @@ def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_SEGMENTS, h, [digests[w] for w in which], ids[np.array(rows)[which]], pa.array(starts, pa.int32()), pa.array(count, pa.int32()))
 
 
-# a pair has a and b; a place of shared windows has a, start and n
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-_FOUND_SQL = "a long, b long, start int, n int"
+# a row of a set names one document of a set that shares a window; a place of shared windows has no set
+_FOUND = pa.schema([("span_set", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_FOUND_SQL = "span_set binary, doc_id long, start int, n int"
 
 
 def _match(docs: list[int], starts: list[int], strings: list[str]) -> Iterator[pa.RecordBatch]:
-    """Shared windows of the packed strings of some whole buckets: places, and pairs of documents.
+    """Shared windows of the packed strings of some whole buckets: places, and sets of documents.
 
-    Windows are sorted by a 128-bit hash.  Windows that stand in the same set of
-    documents name the same pairs, so each set is expanded once, and its windows
-    are compared character by character.
+    Windows are sorted by a 128-bit hash.  Windows that stand in the same documents
+    give one set, with one row per document, and are compared character by character
+    with its first member, so that the output stays linear in the input.
     """
     ends = np.cumsum([len(s) for s in strings])
     begin = np.concatenate([[0], ends[:-1]])
@@ -128,22 +128,23 @@ def _match(docs: list[int], starts: list[int], strings: list[str]) -> Iterator[p
     who, pos = who[by], pos[by]
     run = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (pos[1:] - pos[:-1] > 1)]))
     n = pos[np.append(run[1:], len(pos)) - 1] - pos[run] + 1
-    yield batch(_FOUND, who[run], pa.nulls(len(run), pa.int64()), pa.array(pos[run], pa.int32()), pa.array(n, pa.int32()))
-    # pairs: one window per set of documents
+    yield batch(_FOUND, pa.nulls(len(run), pa.binary()), who[run], pa.array(pos[run], pa.int32()), pa.array(n, pa.int32()))
+    # sets: one window per set of documents
     first = np.flatnonzero(distinct & shared)
     heads = np.flatnonzero(np.concatenate([[True], group[first[1:]] != group[first[:-1]]]))
-    sets = np.add.reduceat(mix(d[first].astype(np.uint64)), heads)
+    sums = np.add.reduceat(mix(d[first].astype(np.uint64)), heads)
     tails = np.append(heads[1:], len(first))
-    left, right = [], []
-    for k in np.unique(sets, return_index=True)[1]:
-        members = order[first[heads[k] : tails[k]]]
-        for i in range(len(members) - 1):
-            left.append(np.full(len(members) - 1 - i, members[i])), right.append(members[i + 1 :])
-    x, y = np.concatenate(left), np.concatenate(right)
-    exact = np.array([np.array_equal(symbols[i : i + K], symbols[j : j + K]) for i, j in zip(x, y)], bool)
-    pairs = np.unique(np.stack([doc[x[exact]], doc[y[exact]]]), axis=1)
-    nothing = pa.nulls(pairs.shape[1], pa.int32())
-    yield batch(_FOUND, pairs[0], pairs[1], nothing, nothing)
+    ids, members = [], []
+    for k in np.unique(sums, return_index=True)[1]:
+        same: dict[bytes, list[int]] = {}
+        for i in order[first[heads[k] : tails[k]]]:
+            same.setdefault(symbols[i : i + K].tobytes(), []).append(int(doc[i]))
+        for found in same.values():
+            if len(found) > 1:
+                ids += [xxhash.xxh3_128_digest(np.array(found, np.int64).tobytes())] * len(found)
+                members += found
+    nothing = pa.nulls(len(ids), pa.int32())
+    yield batch(_FOUND, ids, members, nothing, nothing)
 
 
 def match_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,36 +182,63 @@ def _representatives(segments: DataFrame) -> DataFrame:
     return texts.join(texts.groupBy("th").agg(F.min("doc_id").alias("rep")), "th")
 
 
+def placed(packed: DataFrame) -> DataFrame:
+    """Rows of a stored table with whole buckets, sorted, in each task.
+
+    The table must not be a join by ``h``: its placement would then be taken for this
+    one, and a join turned into a broadcast while it runs leaves buckets in pieces.
+    """
+    return packed.repartition(tasks(packed), "h").sortWithinPartitions("h")
+
+
 def shared_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, texts): pairs of representatives and places of shared windows, and who stands for whom.
+    """(found, texts): sets of representatives and places of shared windows, and who stands for whom.
 
     Spans repeated inside one record alone are not shared.
     """
     docs = documents.select("doc_id", "text").where((F.length("text") >= K) & F.col("doc_id").isNotNull())
     segments = materialize(spread(docs).mapInArrow(segment, _SEGMENTS_SQL), "segments")
     texts = materialize(_representatives(segments), "texts")
-    stats = segments.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
-    shared = stats.where(F.col("lo") != F.col("hi")).select("h")
+    stats = segments.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count(F.lit(1)).alias("c"))
+    shared = stats.where(F.col("lo") != F.col("hi")).select("h", (F.col("c") > HOT).alias("hot"))
     reps = texts.where(F.col("doc_id") == F.col("rep")).select("doc_id")
-    places = segments.select("h", "doc_id", "start", "n").join(shared, "h", "left_semi").join(reps, "doc_id", "left_semi")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n")).alias("s"))  # bounded by one text
+    places = segments.select("h", "doc_id", "start", "n").join(shared, "h").join(reps, "doc_id", "left_semi")
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "hot")).alias("s"))  # bounded by one text
     cut = docs.join(by_doc, "doc_id").select("doc_id", "text", F.explode("s").alias("s"))
-    packed = materialize(cut.select("s.h", "doc_id", "s.start", F.expr("substring(text, s.start + 1, s.n + %d)" % (K - 1)).alias("packed")), "packed")
-    hot = packed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("h")
+    packed = materialize(cut.select("s.h", "doc_id", "s.start", F.expr("substring(text, s.start + 1, s.n + %d)" % (K - 1)).alias("packed"), "s.hot"), "packed")
     columns = ["h", "doc_id", "start", "packed"]
-    cool = packed.join(hot, "h", "left_anti").select(columns).repartition(tasks(packed), "h").sortWithinPartitions("h")
-    runs = cool.mapInArrow(match_buckets, _FOUND_SQL)
-    flat = materialize(packed.join(hot, "h", "left_semi").select(columns).mapInArrow(flat_windows, "w binary, doc_id long, pos int"), "windows")
-    # the documents of a window as an order-free signature: each set of documents is expanded once
+    runs = placed(packed.where("NOT hot").select(columns)).mapInArrow(match_buckets, _FOUND_SQL)
+    flat = materialize(packed.where("hot").select(columns).mapInArrow(flat_windows, "w binary, doc_id long, pos int"), "windows")
+    # the documents of a window as an order-free signature: each set of documents is listed once
     first = flat.select("w", "doc_id").distinct()
     sets = first.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("t")).where("c > 1")
     chosen = sets.groupBy("c", "s", "t").agg(F.min("w").alias("w")).select("w")
-    members = first.join(chosen, "w", "left_semi")
     none = F.lit(None).cast("int")
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    flat_pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), none.alias("start"), none.alias("n"))
-    places = flat.join(sets.select("w"), "w", "left_semi").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("pos").alias("start"), F.lit(1).alias("n"))
-    return materialize(runs.unionByName(flat_pairs).unionByName(places), "runs"), texts
+    members = first.join(chosen, "w", "left_semi").select(F.col("w").alias("span_set"), "doc_id", none.alias("start"), none.alias("n"))
+    places = flat.join(sets.select("w"), "w", "left_semi").select(F.lit(None).cast("binary").alias("span_set"), "doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+    return materialize(runs.unionByName(members).unionByName(places), "runs"), texts
+
+
+def _linked(runs: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: representatives of different texts with a common span."""
+    member = runs.where("span_set IS NOT NULL").select("span_set", "doc_id").distinct()
+    x, y = member.withColumnRenamed("doc_id", "a"), member.withColumnRenamed("doc_id", "b")
+    return x.join(y, "span_set").where("a < b").select("a", "b").distinct()
+
+
+def span_classes(documents: DataFrame) -> DataFrame:
+    """``(doc_id, class_id, links)`` of every record with a shared span.
+
+    A class is a text with all its copies, named by their smallest id; ``links`` counts
+    the other texts that share a span of at least ``K`` characters with it.  Copies are
+    not set out as pairs.  Nulls and shorter texts give nothing.
+    """
+    runs, texts = shared_runs(documents)
+    pairs = _linked(runs)
+    links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    copied = texts.groupBy("rep").agg((F.count(F.lit(1)) > 1).alias("copied"))
+    out = texts.join(copied, "rep").join(links, "rep", "left").where("copied OR links IS NOT NULL")
+    return out.select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).distinct()
 
 
 def sharing_pairs(documents: DataFrame) -> DataFrame:
@@ -220,7 +248,7 @@ def sharing_pairs(documents: DataFrame) -> DataFrame:
     are pairs too; a repeated row (equal id) is one record.
     """
     runs, texts = shared_runs(documents)
-    between = runs.where("b IS NOT NULL").select("a", "b").distinct()
+    between = _linked(runs)
     member = texts.select(F.col("rep"), "doc_id")
     one = between.join(member.withColumnsRenamed({"rep": "a", "doc_id": "x"}), "a")
     both = one.join(member.withColumnsRenamed({"rep": "b", "doc_id": "y"}), "b").select("x", "y")
@@ -238,8 +266,8 @@ def shared_shares(documents: DataFrame) -> DataFrame:
     that another record has too; a record with a copy is shared as a whole.
     """
     runs, texts = shared_runs(documents)
-    places = runs.where("b IS NULL")
-    spans = places.select(F.col("a").alias("rep"), F.col("start").alias("s"), (F.col("start") + F.col("n") + (K - 1)).alias("e")).distinct()
+    places = runs.where("span_set IS NULL")
+    spans = places.select(F.col("doc_id").alias("rep"), F.col("start").alias("s"), (F.col("start") + F.col("n") + (K - 1)).alias("e")).distinct()
     # union of intervals per record, as a fold over the sorted spans of one text
     ordered = spans.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("v"))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("to"))
