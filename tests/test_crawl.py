@@ -74,5 +74,54 @@ def test_fetch_errors_are_values(spark):
     assert {r.url: (r.status, r.error) for r in rows} == {"http://a/bad": (None, "TimeoutError"), "http://a/ok": (200, None)}
 
 
+def table(spark, rows):
+    return C.table_fetcher(spark.createDataFrame([(u, s, b, u, "text/html") for u, s, b in rows], "url string, status int, body string, final_url string, content_type string"))
+
+
+def test_long_chain(spark):
+    pages = [(f"http://c.com/{i}", 200, f'<a href="/{i + 1}">n</a>') for i in range(12)]
+    seeds = spark.createDataFrame([("http://c.com/0", 2**40)], "url string, seq long")
+    got = C.crawl(seeds, table(spark, pages)).orderBy("page_id").collect()
+    assert [r.url for r in got] == [p[0] for p in pages]
+
+
+def test_budget_is_used_up(spark):
+    """Seeds the budget had no place for are fetched after those that are no pages."""
+    pages = [(f"http://d{i % 3}.com/{i}", 200 if i % 2 else 404, "x") for i in range(40)]
+    seeds = spark.createDataFrame([(p[0], i) for i, p in enumerate(pages)], "url string, seq long")
+    assert C.crawl(seeds, table(spark, pages), config=C.CrawlConfig(max_pages=20)).count() == 20
+    assert C.crawl(seeds, table(spark, pages), config=C.CrawlConfig(max_pages=7)).count() == 7
+
+
+def test_rules_of_hosts_met_later(spark):
+    rows = [("http://e.com/", 200, '<a href="http://f.com/open">1</a><a href="http://f.com/no/1">2</a>'), ("http://f.com/open", 200, "x"), ("http://f.com/no/1", 200, "x")]
+    fetch = table(spark, [*rows, ("https://f.com/robots.txt", 200, "User-agent: *\nDisallow: /no")])
+    seeds = spark.createDataFrame([("http://e.com/", 0)], "url string, seq long")
+    got = C.crawl(seeds, fetch, lambda urls: C.fetched_rules(urls, fetch)).collect()
+    assert sorted(r.url for r in got) == ["http://e.com/", "http://f.com/open"]
+
+
+def test_many_links_on_a_page(spark):
+    links = "".join(f'<a href="/{i}">x</a>' for i in range(10_050))
+    rows = [("http://g.com/", 200, links), ("http://g.com/10049", 200, "end"), ("http://h.com/", 200, '<a href="/1">x</a>'), ("http://h.com/1", 200, "y")]
+    seeds = spark.createDataFrame([("http://g.com/", 0), ("http://h.com/", 1)], "url string, seq long")
+    assert [r.url for r in C.crawl(seeds, table(spark, rows)).orderBy("page_id").collect()] == ["http://g.com/", "http://h.com/", "http://h.com/1", "http://g.com/10049"]
+
+
+def test_no_seeds(spark):
+    assert C.crawl(spark.createDataFrame([], "url string, seq long"), table(spark, [("http://a.com/", 200, "x")])).count() == 0
+
+
+def test_polite_fetcher_waits(spark):
+    import time
+
+    def get(url):
+        return 200, str(time.time()), url, "text/html"
+
+    urls = spark.createDataFrame([("http://a.com/1", 0), ("http://a.com/2", 200), ("http://a.com/3", 400), ("http://b.com/1", 0)], "url string, ready_ms long")
+    at = {r.url: float(r.body) for r in C.http_fetcher(get, 2, 200)(urls).collect()}
+    assert at["http://a.com/2"] - at["http://a.com/1"] >= 0.19 and at["http://a.com/3"] - at["http://a.com/2"] >= 0.19
+
+
 def test_crawl_has_no_depth_limit():
     assert C.CrawlConfig().max_rounds is None

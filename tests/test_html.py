@@ -47,3 +47,10 @@ def test_process_numbers_and_errors(spark):
     assert tuple(P.process_stats(pages).first()) == (2, 2, 5.5)
     assert P.process(pages.limit(0)).count() == 0
     assert P.sample_documents(P.process(pages.limit(0))).count() == 0
+
+
+def test_references_and_quoted_tag_ends(spark):
+    page = """<title>A &eacute;&#x41;&notit; b</title><p title="1 > 0" class='x>y'>caf&eacute; &euro;5 &#8364; it&rsquo;s &amp;lt;</p><a title=">" href='/a?x=1&amp;y=&eacute;'>l</a><a href=/plain>m</a>"""
+    row = spark.createDataFrame([(page,), ("<p>plain &gt; text",), (None,)], "html string").select(H.title(F.col("html")).alias("t"), H.body_text(F.col("html")).alias("b"), H.links(F.col("html")).alias("l")).collect()
+    assert row[0].t == "A éA¬it; b" and row[0].b == "café €5 € it’s < l m " and row[0].l == ["/a?x=1&y=é", "/plain"]
+    assert row[1].b == "plain > text " and row[1].l == [] and row[2] == (None, None, None)

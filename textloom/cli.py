@@ -31,15 +31,14 @@ def _crawl(spark: SparkSession, a: argparse.Namespace) -> None:
         stored = spark.read.parquet(a.responses)
         fetch = C.table_fetcher(stored.select("url", F.col("status_code").alias("status"), "body", "final_url", "content_type"))
     else:
-        live = C.http_fetcher(http.get)
-        fetch = lambda urls: live(urls.repartition(a.threads))
-    pages = C.crawl(seeds, fetch, C.fetched_rules(seeds, fetch), C.CrawlConfig(max_pages=a.max_pages))
+        fetch = C.http_fetcher(http.get, a.threads)
+    pages = C.crawl(seeds, fetch, lambda urls: C.fetched_rules(urls, fetch), C.CrawlConfig(max_pages=a.max_pages))
     pages.write.mode("overwrite").parquet(a.output)
 
 
 def _process(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = spark.read.parquet(a.input) if a.parquet else readers.html_folder(spark, a.input)
-    readers.write_documents(P.process(pages, full=True), a.output)
+    readers.write_documents(P.process(pages), a.output)
     stats = P.process_stats(pages).first()
     print(f"processed {stats['processed']}, skipped {stats['skipped']}, average length {stats['avg_len'] or 0:.1f}")
     P.sample_documents(readers.documents(spark, a.output)).show(truncate=100)

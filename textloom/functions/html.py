@@ -19,7 +19,10 @@ MAX_BYTES = 10 * 1024 * 1024
 _SKIPPED = r"(?is)<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|$)"
 _COMMENT = r"(?s)<!--.*?(?:-->|$)"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-_TAG = r"<[A-Za-z/!?][^>]*(?:>|$)"
+# a ``>`` inside a quoted attribute value does not end a tag
+_TAG = r"<[!?][^>]*+(?:>|$)|</?[A-Za-z](?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+(?:>|$)|</[^A-Za-z>][^>]*+(?:>|$)"
+# a reference that is none of those ``unescape_basic`` knows
+_OTHER_REFERENCE = r"&(?!(?:lt|gt|quot|apos|nbsp|amp|#39);)[A-Za-z#]"
 
 
 @F.pandas_udf(St.StringType())
@@ -35,8 +38,8 @@ def unescape_basic(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """All named and numeric character references (Arrow batches of Python)."""
-    return _unescape(text)
+    """All named and numeric character references; only texts with uncommon ones go through Python (Arrow batches)."""
+    return F.coalesce(_unescape(F.when(text.rlike(_OTHER_REFERENCE), text)), unescape_basic(text))
 
 
 def decode_entities(text: Column) -> Column:
@@ -58,17 +61,17 @@ def _visible(page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(page, _COMMENT, "<x>"), _SKIPPED, "<x>")
 
 
-def title(page: Column, full: bool = False) -> Column:
+def title(page: Column, full: bool = True) -> Column:
     """Text of all title elements joined without separator."""
     found = F.array_join(F.regexp_extract_all(_visible(page), F.lit(_TITLE), F.lit(1)), "")
     return decode_entities(unescape(found) if full else unescape_basic(found))
 
 
-def body_text(page: Column, full: bool = False) -> Column:
+def body_text(page: Column, full: bool = True) -> Column:
     """Text nodes outside titles, each followed by a blank; empty if no ASCII letter or digit is left.
 
-    Line ends and tabs become blanks one by one.  ``full`` decodes every named
-    reference (in Python), otherwise those of markup.
+    Line ends and tabs become blanks one by one.  Without ``full`` only the references
+    of markup characters, quotes and the hard blank are decoded.
     """
     nodes = F.split(F.regexp_replace(_visible(page), _TITLE, "<x>"), _TAG)
     kept = F.filter(nodes, lambda n: n.rlike(r"[^ \t\n\r\f]"))
@@ -80,12 +83,13 @@ def body_text(page: Column, full: bool = False) -> Column:
 
 def links(page: Column) -> Column:
     """Raw ``href`` values of the anchors in document order, repeated ones included."""
-    tags = F.regexp_extract_all(_visible(page), F.lit(r"(?i)<a\s[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(_visible(page), F.lit(r"(?i)<a\s(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"), F.lit(0))
     has = F.filter(tags, lambda t: t.rlike(r"(?i)\shref\s*="))
     value = lambda t: F.regexp_extract(t, r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 1)
     other = lambda t: F.concat(F.regexp_extract(t, r"(?i)\shref\s*=\s*'([^']*)'", 1), F.regexp_extract(t, r"(?i)\shref\s*=\s*([^\s>\"']+)", 1))
     pick = lambda t: F.when(value(t) != "", value(t)).otherwise(other(t))
-    return F.transform(F.transform(has, pick), unescape_basic)
+    found = F.array_join(F.transform(has, pick), "\x00")  # no value holds this character: pages end at it
+    return F.when(F.size(has) > 0, F.split(unescape(found), "\x00")).when(page.isNotNull(), F.array().cast("array<string>"))
 
 
 def raw_links(page: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, _PARTS, i)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once: a bound variable in place of copies of its expression."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def is_valid(url: Column) -> Column:
     """http or https (any case) with a non-empty authority."""
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#]"), F.lit(False))
@@ -83,14 +90,14 @@ def resolve(base: Column, rel: Column) -> Column:
     root = F.concat(scheme, F.lit("://"), host, F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)))
     path = _part(base, 3)
     folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), "(?s)^(.*/)[^/]*$", 1)
-    raw = (
+    link = (
         F.when(rel.rlike("^https?://"), rel)
         .when(~is_valid(base), "")
         .when(rel.startswith("//"), F.concat(scheme, F.lit(":"), rel))
         .when(rel.startswith("/"), F.concat(root, remove_dot_segments(rel)))
         .otherwise(F.concat(root, remove_dot_segments(F.concat(folder, rel))))
     )
-    return normalize(raw)
+    return _once(link, normalize)
 
 
 def robots_path(url: Column) -> Column:

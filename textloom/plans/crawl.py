@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +12,13 @@ from textloom.functions import html as H
 from textloom.functions import urls as U
 from textloom.operators import frontier as Q
 from textloom.operators import robots as R
-from textloom.runtime import materialize
+from textloom.plans.process import number
+from textloom.runtime import Table, materialize
 
-# (url) rows in, (url, status, body, final_url, content_type, error) rows out
+# (url) or (url, ready_ms) rows in, (url, status, body, final_url, content_type, error) rows out
 Fetcher = Callable[[DataFrame], DataFrame]
+# (url) rows in, (domain, disallow, crawl_delay_ms) rows of their hosts out
+Rules = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -38,31 +40,41 @@ def table_fetcher(responses: DataFrame) -> Fetcher:
 
     def fetch(urls: DataFrame) -> DataFrame:
         error = F.when(F.col("r").isNull(), "NetworkError")
-        return urls.join(known, "url", "left").select("url", *[F.col(f"r.{c}").alias(c) for c in columns], error.alias("error"))
+        return urls.select("url").join(known, "url", "left").select("url", *[F.col(f"r.{c}").alias(c) for c in columns], error.alias("error"))
 
     return fetch
 
 
-def http_fetcher(get: Callable[[str], tuple[int, str, str, str]]) -> Fetcher:
+def http_fetcher(get: Callable[[str], tuple[int, str, str, str]], lanes: int = 8, delay_ms: int = Q.DELAY_MS) -> Fetcher:
     """Fetcher that calls ``get(url) -> (status, body, final_url, content_type)`` in the tasks.
 
-    An exception becomes an ``error`` value (its class name), never a failed task.
+    An exception becomes an ``error`` value (its class name), never a failed task.  All
+    URLs of a host go to one of ``lanes`` tasks, in the order of ``ready_ms`` where the rows have
+    it, and two calls to a host begin at least ``delay_ms`` apart.
     """
 
     def fetch(urls: DataFrame) -> DataFrame:
         def run(frames):
+            import time
+
             import pandas as pd
 
+            began, last = time.monotonic(), {}
             for frame in frames:
                 rows = []
-                for url in frame["url"]:
+                for url, host, ready in zip(frame["url"], frame["host"], frame["ready_ms"]):
+                    due = max(began + ready / 1000, last.get(host, began) + delay_ms / 1000 if host in last else began)
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    last[host] = time.monotonic()
                     try:
                         rows.append((url, *get(url), None))
                     except Exception as e:  # noqa: BLE001
                         rows.append((url, None, None, None, None, type(e).__name__))
                 yield pd.DataFrame(rows, columns=["url", "status", "body", "final_url", "content_type", "error"])
 
-        return urls.select("url").mapInPandas(run, "url string, status int, body string, final_url string, content_type string, error string")
+        ready = F.col("ready_ms") if "ready_ms" in urls.columns else F.lit(0).cast("long")
+        laned = urls.select("url", U.domain(F.col("url")).alias("host"), ready.alias("ready_ms")).repartition(lanes, "host").sortWithinPartitions("ready_ms")
+        return laned.mapInPandas(run, "url string, status int, body string, final_url string, content_type string, error string")
 
     return fetch
 
@@ -86,32 +98,52 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("url", "link").agg(F.min("pos").alias("pos"))
 
 
-def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | None = None, config: CrawlConfig = CrawlConfig()) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | Rules | None = None, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """``(page_id, url, html)`` of up to ``max_pages`` pages reached from ``seeds`` (url, seq).
 
-    Each round fetches what the frontier holds in politeness order, keeps pages, and
-    pushes their links.  Ends on the page budget or an empty frontier.  Rounds are
-    written to shared storage, so a lost executor repeats at most one round's task.
+    Each round fetches what the frontier holds in politeness order, as far as the page
+    budget goes, keeps pages, and pushes their links behind what it had no budget for.
+    Ends on the budget or an empty frontier.  ``rules`` is a table of all hosts or a
+    function that gets the rules of hosts when they are first met.  Frontier rows are
+    numbered anew in each round; rounds are appended to tables in shared storage, so
+    plans don't grow with the rounds and a lost executor repeats at most a round's task.
     """
-    front = materialize(Q.push(None, seeds), "frontier")
-    seen, done, crawled = front.select("url"), None, 0
-    for round_ in count() if config.max_rounds is None else range(config.max_rounds):
-        ready = R.allowed(front, rules) if rules is not None else front
-        ordered = Q.schedule(ready, config.delay_ms).orderBy("ready_ms", "seq", "url").limit(config.max_pages - crawled)
-        got = materialize(is_page(fetch(ordered.select("url"))).join(ordered.select("url", "ready_ms", "seq"), "url"), "fetched")
-        pages = got.select(F.lit(round_).alias("round"), "ready_ms", "seq", "url", F.col("body").alias("html"))
-        done = pages if done is None else done.unionByName(pages)
+    spark = seeds.sparkSession
+    seen = Table(spark, "url string", "seen")
+    pages = Table(spark, "round int, ready_ms long, seq long, url string, html string", "crawled")
+    hosts = Table(spark, "domain string", "hosts")
+    met = Table(spark, "domain string, disallow array<string>, crawl_delay_ms long", "rules")
+
+    def permitted(front: DataFrame) -> DataFrame:
+        if rules is None:
+            return front
+        if isinstance(rules, DataFrame):
+            return R.allowed(front, rules)
+        new = materialize(front.select("domain").distinct().join(hosts.read(), "domain", "left_anti"), "new-hosts")
+        met.append(rules(new.select(F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"))))
+        hosts.append(new)
+        return R.allowed(front, met.read())
+
+    front, waiting, crawled, round_ = Q.push(None, seeds.select("url", F.struct(F.lit(0).alias("s"), F.col("seq").cast("long").alias("pos")).alias("seq"))), None, 0, 0
+    while config.max_rounds is None or round_ < config.max_rounds:
+        fresh = materialize(front, "fresh")
+        seen.append(fresh.select("url"))
+        queue = permitted(fresh).select("url", "domain", F.struct(F.lit(1).alias("new"), F.col("seq.s").cast("long").alias("s"), F.col("seq.pos").cast("long").alias("pos")).alias("order"))
+        if waiting is not None:
+            queue = waiting.unionByName(queue)
+        queue = materialize(Q.schedule(number(queue, "order", "seq").drop("order"), config.delay_ms), "frontier")
+        turn = materialize(queue.orderBy("ready_ms", "seq", "url").limit(config.max_pages - crawled), "turn")
+        if turn.isEmpty():
+            break
+        got = materialize(is_page(fetch(turn.select("url", "ready_ms"))).select("url", "body").join(turn.select("url", "ready_ms", "seq"), "url"), "fetched")
+        pages.append(got.select(F.lit(round_).alias("round"), "ready_ms", "seq", "url", F.col("body").alias("html")))
         crawled += got.count()
         if crawled >= config.max_pages:
             break
-        links = page_links(got.select("url", "body").join(got.select("url", "seq"), "url"))
-        order = got.select("url", F.col("seq").alias("s"))
-        next_ = links.join(order, "url").select(F.col("link").alias("url"), (F.col("s") * 10_000 + F.col("pos")).alias("seq"))
-        front = materialize(Q.push(seen, next_), "frontier")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front.select("url"))
-    from textloom.plans.process import number
-
-    keyed = done.withColumn("k", F.struct("round", "ready_ms", "seq", "url"))
+        rest = queue.join(turn.select("url"), "url", "left_anti")
+        waiting = rest.select("url", "domain", F.struct(F.lit(0).alias("new"), F.col("seq").alias("s"), F.lit(0).cast("long").alias("pos")).alias("order"))
+        links = page_links(got.select("url", "body")).join(got.select("url", F.col("seq").alias("s")), "url")
+        front = Q.push(seen.read(), links.select(F.col("link").alias("url"), F.struct("s", "pos").alias("seq")))
+        round_ += 1
+    keyed = pages.read().withColumn("k", F.struct("round", "ready_ms", "seq", "url"))
     return number(keyed, "k", "page_id").select("page_id", "url", "html")

@@ -10,7 +10,7 @@ from textloom.functions import html as H
 from textloom.runtime import materialize
 
 
-def parse_pages(pages: DataFrame, full: bool = False) -> DataFrame:
+def parse_pages(pages: DataFrame, full: bool = True) -> DataFrame:
     """``(page_id, url, title, text, error)`` of each page (page_id, url, html).
 
     A page over the size limit, without markup or without text has ``error`` set and
@@ -44,7 +44,7 @@ def number(docs: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
     return out.drop("__p", "__start")
 
 
-def process(pages: DataFrame, full: bool = False) -> DataFrame:
+def process(pages: DataFrame, full: bool = True) -> DataFrame:
     """Document store ``(doc_id, url, title, text)`` of the pages that hold text, numbered by page_id."""
     # parsed once: the range partitioning below samples its input first
     kept = materialize(parse_pages(pages, full), "parsed").where("error IS NULL").drop("error")

@@ -18,7 +18,7 @@ from textloom.plans import index as I
 from textloom.plans import postings_skew
 from textloom.plans import process as P
 from textloom.plans import search as S
-from textloom.runtime import shipped, spread, table
+from textloom.runtime import folder, shipped, spread, table
 from textloom.sources import readers
 from textloom.sql import SQL
 
@@ -340,6 +340,61 @@ def crawl_bfs(spark, d):
     return C.crawl(seeds, C.table_fetcher(answers), R.parse_rules(_robots(spark, d)), C.CrawlConfig(max_pages=10**6))
 
 
+@query
+def crawl_from_start_pages(spark, d):
+    """What a crawl reaches from the first page of each host, exclusion rules fetched as hosts are met."""
+    r = table(spark, d, "http_responses")
+    first = r.where("url IS NOT NULL").groupBy(U.domain(F.col("url")).alias("domain")).agg(F.min(F.struct("response_id", "url")).alias("r")).where("domain <> ''")
+    seeds = first.select("r.url", F.col("r.response_id").alias("seq"))
+    answers = r.select("url", F.col("status_code").alias("status"), "body", "final_url", "content_type")
+    files = _robots(spark, d).select(F.concat(F.lit("https://"), "domain", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"), F.col("robots_txt").alias("body"), F.lit("").alias("final_url"), F.lit("text/plain").alias("content_type"))
+    fetch = C.table_fetcher(answers.unionByName(files))
+    return C.crawl(seeds, fetch, lambda urls: C.fetched_rules(urls, fetch), C.CrawlConfig(max_pages=10**6)).select("url")
+
+
+# stores
+
+
+@query
+def stored_index_search(spark, d):
+    """Ranking on an index written to storage: the terms reach the scan of the sorted postings."""
+    path = f"{folder(spark, 'index')}"
+    I.write_index(_index(spark, d), path)
+    return S.top_k(I.read_index(spark, path), FLAGSHIP, 25).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def stored_term_stats(spark, d):
+    path = f"{folder(spark, 'index')}"
+    I.write_index(_index(spark, d), path)
+    return I.read_index(spark, path).term_stats.select("term", "df")
+
+
+@query
+def document_store(spark, d):
+    """Documents written to a store and read from it."""
+    path = folder(spark, "store")
+    readers.write_documents(_docs(spark, d), path)
+    return readers.documents(spark, path)
+
+
+@query
+def seeds_file(spark, d):
+    """URLs written one a line and read as seeds."""
+    path = folder(spark, "seeds")
+    _docs(spark, d).where("url IS NOT NULL AND NOT contains(url, '\n')").select(F.col("url").alias("value")).write.text(path)
+    return readers.seeds(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dump_articles(spark, d):
+    """Articles of an XML dump written from the documents."""
+    path = folder(spark, "dump")
+    rows = _docs(spark, d).where("title IS NOT NULL AND text IS NOT NULL").select(F.regexp_replace("title", r"\s+", " ").alias("title"), F.struct(F.regexp_replace("text", r"\s+", " ").alias("text")).alias("revision"))
+    rows.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
+    return readers.articles(readers.wiki_dump(spark, path))
+
+
 # wiki dump
 
 

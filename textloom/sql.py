@@ -130,7 +130,31 @@ WITH v AS (
 ), rows_ok AS (SELECT * FROM v WHERE term <> ''), pairs AS (SELECT DISTINCT term, doc_id FROM rows_ok)
 """
 
+_PATH = "coalesce(nullif(regexp_extract(url, '://[^/]*(/.*)$', 1), ''), '/')"
+_KNOWN = _URLS + f""", hosts AS (SELECT DISTINCT {_host('url')} AS domain FROM urls WHERE {_valid('url')}),
+known AS (SELECT u AS url, max({{'status': status_code, 'body': body, 'final_url': final_url, 'content_type': content_type}}) AS r
+  FROM (SELECT {_normal('url')} AS u, * FROM http_responses WHERE url IS NOT NULL) WHERE u <> '' GROUP BY u),
+ok AS (SELECT url, {_host('url')} AS domain, r.body AS html, r.status = 200 AND contains(r.content_type, 'text/html') AS page FROM known k
+  WHERE NOT starts_with({_PATH}, '/s') AND NOT starts_with({_PATH}, '/' || left({_host('url')}, 1)))
+"""
+_CRAWL = _KNOWN + f""", firsts AS (SELECT url, min(response_id) AS seq FROM http_responses WHERE url IS NOT NULL GROUP BY url),
+seeds AS (SELECT {_normal('url')} AS url, min(seq) AS seq FROM firsts GROUP BY 1),
+turns AS (SELECT url, html, page, seq, (row_number() OVER (PARTITION BY domain ORDER BY seq) - 1) * 100 AS ready_ms FROM ok JOIN seeds USING (url))
+"""
+_REACH = "WITH RECURSIVE" + _KNOWN.split("WITH", 1)[1] + f""", hrefs AS (SELECT url AS base, unnest(list_filter(regexp_extract_all(html, 'href[ \\t]*=[ \\t]*"([^"]*)"', 1), lambda v: length(v) BETWEEN 1 AND 2048)) AS rel FROM ok WHERE page),
+links AS (SELECT DISTINCT 0 AS response_id, base, rel FROM hrefs), raws AS{_RESOLVED.split(", raws AS")[1].rstrip()},
+starts AS (SELECT min({{'a': response_id, 'url': url}}).url AS u FROM http_responses WHERE {_valid('url')} GROUP BY {_host('url')}),
+reach AS (SELECT url FROM ok WHERE url IN (SELECT {_normal('u')} FROM starts)
+  UNION SELECT ok.url FROM reach JOIN resolved ON base = reach.url JOIN ok ON ok.url = link)
+"""
+
 SQL = {
+    "crawl_bfs": _CRAWL + "SELECT row_number() OVER (ORDER BY ready_ms, seq, url) - 1 AS page_id, url, html FROM turns WHERE page",
+    "crawl_from_start_pages": _REACH + "SELECT url FROM reach JOIN ok USING (url) WHERE page",
+    "stored_index_search": _scores(["archive", "canva", "archive", "report"]) + "SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 25",
+    "stored_term_stats": _TOKENS + "SELECT term, df FROM df",
+    "document_store": "SELECT doc_id, url, title, text FROM documents",
+    "seeds_file": "SELECT url, count(*) AS n FROM documents WHERE url <> '' AND NOT contains(url, chr(10)) GROUP BY url",
     "tokenize": _TOKENS + "SELECT d.doc_id, coalesce(x.tokens, []) AS tokens FROM documents d LEFT JOIN (SELECT doc_id, list(term ORDER BY pos) AS tokens FROM terms GROUP BY doc_id) x USING (doc_id)",
     "stop_words_removed": _TOKENS + "SELECT doc_id, count(*) AS kept FROM kept GROUP BY doc_id",
     "stem_vocabulary": _TOKENS + "SELECT raw, stem FROM stems",
@@ -194,6 +218,11 @@ WITH m AS (SELECT doc_id, '{{box' || chr(10) || '}} == Head == [[a|' || coalesce
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)\{\{.*?\}\}', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), 'http[^\s]+', '', 'g'), '==+.*?==+', '', 'g'), '\s+', ' ', 'g'), ' ') AS cleaned FROM m""",
     "wiki_articles": r"""
 WITH m AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'File:' || title ELSE title END AS title, text FROM documents),
+c AS (SELECT title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\{\{.*?\}\}', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), 'http[^\s]+', '', 'g'), '==+.*?==+', '', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM m
+  WHERE title <> '' AND text <> '' AND NOT starts_with(text, '#REDIRECT') AND NOT regexp_matches(title, '^(Template|Category|File|Wikipedia|Portal|Help):'))
+SELECT title, text FROM c WHERE text <> ''""",
+    "dump_articles": r"""
+WITH m AS (SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE title IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\{\{.*?\}\}', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), 'http[^\s]+', '', 'g'), '==+.*?==+', '', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM m
   WHERE title <> '' AND text <> '' AND NOT starts_with(text, '#REDIRECT') AND NOT regexp_matches(title, '^(Template|Category|File|Wikipedia|Portal|Help):'))
 SELECT title, text FROM c WHERE text <> ''""",
