@@ -13,11 +13,14 @@ exceeds a fixed share of a task (at most ``tasks * HEAVY_PART`` of them).
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.runtime import materialize
+
 BINS_PER_TASK = 16
 HEAVY_PART = 8  # a key is heavy from 1/HEAVY_PART of a task's fair load on
 
@@ -68,7 +71,11 @@ def pack(bin_loads: dict[int, int], heavy_loads: dict[str, int], tasks: int) ->
 
 
 def plan_load(loads: DataFrame, key: str, weight: str, tasks: int) -> LoadPlan:
-    """Plan from per-key loads (``key`` unique, ``weight`` rows).  Null keys are ignored."""
+    """Plan from per-key loads (``key`` unique, ``weight`` rows).  Null keys are ignored.
+
+    The loads are stored once, as three passes read them.
+    """
+    loads = materialize(loads.select(key, weight), "loads")
     total = loads.agg(F.sum(weight)).first()[0] or 0
     # at most tasks * HEAVY_PART keys can reach this share, so the collect is bounded
     heavy_from = max(2, total // (tasks * HEAVY_PART) + 1)
@@ -79,35 +86,33 @@ def plan_load(loads: DataFrame, key: str, weight: str, tasks: int) -> LoadPlan:
     return pack({r["b"]: int(r["w"]) for r in light.collect()}, heavy, tasks)
 
 
-def _task_of(plan: LoadPlan, key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in plan.bins]), _bin(key, plan.n_bins) + 1)
-
-
 def _placed(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """``df`` with the tasks of its key in ``__shards``, null for a light key.
+    """``df`` with the task of its key's bin in ``__bin_task`` and the tasks of a heavy key in ``__shards``, else null.
 
-    The heavy keys are a table of at most ``tasks * HEAVY_PART`` rows, which bounds the broadcast.
+    Both are looked up in broadcast tables: one row per bin, ``tasks * BINS_PER_TASK`` of
+    them, and one per heavy key, ``tasks * HEAVY_PART`` at most; neither grows with the data.
     """
-    if not plan.heavy:
-        return df.withColumn("__shards", F.lit(None).cast("array<int>"))
-    rows = [(k, list(v)) for k, v in sorted(plan.heavy.items())]
-    heavy = df.sparkSession.createDataFrame(rows, "__key string, __shards array<int>")
-    return df.join(F.broadcast(heavy), F.col(key).cast("string") == F.col("__key"), "left").drop("__key")
+    spark = df.sparkSession
+    name = F.col(key).cast("string")
+    bins = spark.createDataFrame(list(enumerate(plan.bins)), "__bin int, __bin_task int")
+    out = df.join(F.broadcast(bins), _bin(name, plan.n_bins) == F.col("__bin"), "left").drop("__bin")
+    heavy = spark.createDataFrame([(k, list(v)) for k, v in sorted(plan.heavy.items())], "__key string, __shards array<int>")
+    return out.join(F.broadcast(heavy), name == F.col("__key"), "left").drop("__key")
 
 
 def fragment(df: DataFrame, key: str, plan: LoadPlan, spread_by: list[str]) -> DataFrame:
     """The large side: each row goes to one shard of its key, chosen by a hash of ``spread_by``."""
     s = F.col("__shards")
     pick = F.element_at(s, (F.pmod(F.xxhash64(*spread_by), F.size(s)) + 1).cast("int"))
-    out = _placed(df, key, plan).withColumn("__task", F.when(s.isNotNull(), pick).otherwise(_task_of(plan, F.col(key).cast("string"))))
-    return out.drop("__shards").repartitionById(plan.tasks, F.col("__task"))
+    out = _placed(df, key, plan).withColumn("__task", F.when(s.isNotNull(), pick).otherwise(F.coalesce("__bin_task", F.lit(0))))
+    return out.drop("__shards", "__bin_task").repartitionById(plan.tasks, F.col("__task"))
 
 
 def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     """The matching side: rows of a split key are copied to that key's tasks, all others go to one."""
     s = F.col("__shards")
-    targets = F.when(s.isNotNull(), F.array_distinct(s)).otherwise(F.array(_task_of(plan, F.col(key).cast("string"))))
-    return _placed(df, key, plan).withColumn("__task", F.explode(targets)).drop("__shards").repartitionById(plan.tasks, F.col("__task"))
+    targets = F.when(s.isNotNull(), F.array_distinct(s)).otherwise(F.array(F.coalesce("__bin_task", F.lit(0))))
+    return _placed(df, key, plan).withColumn("__task", F.explode(targets)).drop("__shards", "__bin_task").repartitionById(plan.tasks, F.col("__task"))
 
 
 def balanced_counts(pairs: DataFrame, key: str, spread_by: list[str], plan: LoadPlan) -> DataFrame:
@@ -116,16 +121,24 @@ def balanced_counts(pairs: DataFrame, key: str, spread_by: list[str], plan: Load
     return part.groupBy(key).agg(F.sum("n").alias("n_rows"))
 
 
-def fragment_replicate_join(large: DataFrame, small: DataFrame, key: str, plan: LoadPlan, spread_by: list[str], how: str = "inner") -> DataFrame:
+def fragment_replicate_join(large: DataFrame, small: DataFrame, key: str, plan: LoadPlan, spread_by: list[str], how: str = "inner", reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Equi-join on ``key`` where ``large`` may be dominated by a few keys.
 
     ``how`` is ``inner`` or ``left`` (every row of ``large`` kept; it lies in exactly
     one shard, so no row is produced twice).  Columns of ``small`` that clash with
-    ``large`` get the suffix ``_m``.  Null keys never match.  Sets the session to
-    accept a placement by a part of the join keys, so that rows stay where the plan
-    put them instead of being hashed again.
+    ``large`` get the suffix ``_m``.  Null keys never match.  Both sides stay where the
+    plan put them instead of being hashed again: while the join is planned, the session
+    accepts a placement by a part of the join keys.  As that holds for plans made while it
+    lasts, the result is stored there, or what ``reduce`` makes of it.
     """
-    large.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark = large.sparkSession
     clash = set(large.columns) & set(small.columns) - {key}
     side = replicate(small.select(*[F.col(c).alias(c + "_m" if c in clash else c) for c in small.columns]), key, plan)
-    return fragment(large, key, plan, spread_by).join(side, ["__task", key], how).drop("__task")
+    joined = fragment(large, key, plan, spread_by).join(side, ["__task", key], how).drop("__task")
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return reduce(joined) if reduce else materialize(joined, "joined")
+    finally:
+        spark.conf.set(setting, old)

@@ -28,11 +28,11 @@ def _loads(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("w"))
 
 
-def key_loads(postings: DataFrame) -> tuple[DataFrame, dict[str, skew.LoadPlan]]:
-    """Distinct pairs (written once to shared storage) and a load plan for either key."""
+def key_loads(postings: DataFrame, keys: tuple[str, ...] = ("term", "doc_id")) -> tuple[DataFrame, dict[str, skew.LoadPlan]]:
+    """Distinct pairs (written once to shared storage) and a load plan for each of ``keys``."""
     pairs = materialize(distinct_pairs(postings), "pairs")
     n = tasks(pairs)
-    return pairs, {k: skew.plan_load(_loads(pairs, k), k, "w", n) for k in ("term", "doc_id")}
+    return pairs, {k: skew.plan_load(_loads(pairs, k), k, "w", n) for k in keys}
 
 
 def heavy_keys(postings: DataFrame, share: float = 0.01) -> DataFrame:
@@ -55,13 +55,16 @@ def term_results(postings: DataFrame, term_entries: DataFrame) -> DataFrame:
 
     ``(term, n_docs, posting_count, n_segments)``; a term no segment lists has nulls.
     """
-    pairs, plans = key_loads(postings)
+    pairs, plans = key_loads(postings, ("term",))
     own = (
         term_entries.select(clean_term(F.col("term")).alias("term"), "posting_count", "segment_id").groupBy("term")
         .agg(F.sum("posting_count").alias("posting_count"), F.countDistinct("segment_id").alias("n_segments"))
     )
-    joined = skew.fragment_replicate_join(pairs, own, "term", plans["term"], ["doc_id"], "left")
-    part = joined.groupBy("term", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("posting_count").alias("pc"), F.max("n_segments").alias("ns"))
+
+    def per_shard(joined: DataFrame) -> DataFrame:
+        return materialize(joined.groupBy("term", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("posting_count").alias("pc"), F.max("n_segments").alias("ns")), "shards")
+
+    part = skew.fragment_replicate_join(pairs, own, "term", plans["term"], ["doc_id"], "left", per_shard)
     return part.groupBy("term").agg(F.sum("n").alias("n_docs"), F.max("pc").alias("posting_count"), F.max("ns").alias("n_segments"))
 
 
@@ -70,10 +73,13 @@ def document_results(postings: DataFrame, doc_lengths: DataFrame, hub_pages: Dat
 
     A document with several lengths takes the largest; a missing one stays null.
     """
-    pairs, plans = key_loads(postings)
+    pairs, plans = key_loads(postings, ("doc_id",))
     lens = doc_lengths.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), F.lit(False).alias("hub"))
     side = lens.unionByName(hub_pages.select("doc_id", F.lit(None).cast("long").alias("doc_len"), F.lit(True).alias("hub")))
     side = side.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), F.max("hub").alias("hub"))
-    joined = skew.fragment_replicate_join(pairs, side, "doc_id", plans["doc_id"], ["term"], "left")
-    part = joined.groupBy("doc_id", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len"), F.max("hub").alias("hub"))
+
+    def per_shard(joined: DataFrame) -> DataFrame:
+        return materialize(joined.groupBy("doc_id", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_len").alias("doc_len"), F.max("hub").alias("hub")), "shards")
+
+    part = skew.fragment_replicate_join(pairs, side, "doc_id", plans["doc_id"], ["term"], "left", per_shard)
     return part.groupBy("doc_id").agg(F.sum("n").alias("n_terms"), F.max("doc_len").alias("doc_len"), F.coalesce(F.max("hub"), F.lit(False)).alias("is_hub"))
