@@ -5,7 +5,8 @@ of texts).  Shallow combinations of lengths that fill a container exactly are
 enumerated, least squares with non-negative repeat counts fits them to the
 histogram, the counts are rounded to what is there, and what is left is packed
 greedily, largest first.  Texts then find their container by their rank among the
-texts of their length; ranks come from per-bucket counts, so no task holds a length.
+texts of their length, by binary search in a table of places that every task has; ranks
+come from per-bucket counts, so no task holds a length.
 """
 
 from __future__ import annotations
@@ -146,6 +147,25 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple]:
     return rows
 
 
+_PLACED = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int64()), ("n_tokens", pa.int64()), ("container_id", pa.int64()), ("container_tokens", pa.int64())])
+_PLACED_SQL = "doc_id long, piece_no long, n_tokens long, container_id long, container_tokens long"
+_RANKS = 40  # bits of a rank inside a length
+
+
+def place_finder(places):
+    """Containers of (doc_id, piece_no, len, rank) rows by binary search in a broadcast, sorted table of places."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, lo, _, per, base, filled = places.value
+        keys = (length << _RANKS) | lo
+        for b in batches:
+            n, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            at = np.searchsorted(keys, (n << _RANKS) | rank, side="right") - 1
+            yield batch(_PLACED, b.column(0), b.column(1), b.column(2), base[at] + (rank - lo[at]) // per[at], filled[at])
+
+    return find
+
+
 def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str = TOKENIZER) -> DataFrame:
     """``(doc_id, piece_no, token_from, n_tokens, container_id, container_tokens)``.
 
@@ -165,18 +185,36 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: s
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect():
         histogram[r["len"]] = r["n"]
-    places = documents.sparkSession.createDataFrame(_places(pack_histogram(histogram, capacity)), "len long, lo long, hi long, per long, base long, container_tokens long")
+    # patterns times three lengths at most: bounded by the capacity, not by the data
+    rows = np.array(_places(pack_histogram(histogram, capacity)), np.int64).reshape(-1, 6)
+    places = documents.sparkSession.sparkContext.broadcast(rows[np.lexsort((rows[:, 1], rows[:, 0]))].T.copy())
     before = Window.partitionBy("len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("len", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("len", "bucket").orderBy(F.xxhash64("doc_id", "piece_no"), "doc_id", "piece_no")
     ranked = items.where("len > 0").withColumn("rn", F.row_number().over(within) - 1).join(offsets, ["len", "bucket"]).withColumn("rank", F.col("rn") + F.col("offset"))
-    # patterns times three lengths at most: bounded by the capacity, not by the data
-    placed = ranked.join(F.broadcast(places), "len").where("rank >= lo AND rank < hi")
-    container = (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long")
-    columns = ["doc_id", F.col("piece_no").cast("long").alias("piece_no"), (F.col("piece_no").cast("long") * capacity).alias("token_from"), F.col("len").alias("n_tokens")]
+    placed = ranked.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), "len", F.col("rank").cast("long").alias("rank")).mapInArrow(place_finder(places), _PLACED_SQL)
+    start = (F.col("piece_no").cast("long") * capacity).alias("token_from")
     none = F.lit(None).cast("long")
-    empty = items.where("len = 0").select(*columns, none.alias("container_id"), none.alias("container_tokens"))
-    return placed.select(*columns, container.alias("container_id"), "container_tokens").unionByName(empty)
+    empty = items.where("len = 0").select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), start, F.col("len").alias("n_tokens"), none.alias("container_id"), none.alias("container_tokens"))
+    return placed.select("doc_id", "piece_no", start, "n_tokens", "container_id", "container_tokens").unionByName(empty)
+
+
+def contract(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str = TOKENIZER) -> DataFrame:
+    """One row that checks a packing against its texts: ``(texts, placed, split_wrongly, overfull, misstated, gaps)``.
+
+    ``placed`` counts texts with a container; a text of at most ``capacity`` tokens in
+    several pieces is split wrongly; a container is overfull above the capacity and
+    misstated where its pieces are not what it says; gaps are pieces that do not follow each other.
+    """
+    packed = materialize(containers(documents, capacity, tokenizer_path), "packed")
+    texts = packed.groupBy("doc_id").agg(F.count("container_id").alias("placed"), F.sum("n_tokens").alias("n"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end"))
+    of_texts = texts.agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(F.col("placed") > 0).alias("placed"), F.count_if(F.col("placed") > F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))).alias("split_wrongly"),
+        F.count_if(F.col("n") != F.col("end")).alias("gaps"),
+    )
+    filled = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.min("container_tokens").alias("lo"), F.max("container_tokens").alias("hi"))
+    of_containers = filled.agg(F.count_if(F.col("n") > capacity).alias("overfull"), F.count_if((F.col("n") != F.col("lo")) | (F.col("n") != F.col("hi"))).alias("misstated"))
+    return of_texts.crossJoin(of_containers)  # two one-row results
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
