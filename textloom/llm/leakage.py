@@ -1,9 +1,9 @@
 """Evaluation texts leaking into a corpus, by an FM-index per shard.
 
-Each task turns its documents into word numbers (words no test item uses are one
-separator symbol; stretches too short for a phrase are left out, which loses no
-match), builds a suffix array, the Burrows-Wheeler transform and a wavelet matrix
-over it, and searches all test phrases backwards at once.  Occurrences are located
+Each task reads its documents once and turns them into word numbers.  For each block of
+test items (words none of them uses are one separator symbol; stretches too short for a
+phrase are left out, which loses no match) it builds a suffix array, the Burrows-Wheeler transform and a wavelet matrix
+over it, and searches all phrases of the block backwards at once.  Occurrences are located
 by walking to sampled suffix positions, and hits of one item merge into spans.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -179,25 +178,39 @@ def _flush(phrases: Phrases, seqs: list, docs: list, offsets: list) -> Iterator[
         yield batch(_HITS, doc, item, start, end)
 
 
-def searcher(phrases: Phrases):
+def _search_shard(blocks: list[Phrases], vocabulary: dict[str, int], seqs: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
+    """Hits of all blocks of test items in a shard that was read once; each block sees it in its own word numbers."""
+    for phrases in blocks:
+        get = phrases.number.get
+        numbers = np.array([get(w, 1) for w in vocabulary], np.int64)
+        runs, owners, offsets = [], [], []
+        for doc, local in zip(docs, seqs):
+            seq = numbers[local]
+            gaps = np.concatenate([[-1], np.flatnonzero(seq == 1), [len(seq)]])
+            for g in np.flatnonzero(np.diff(gaps) > WORDS):
+                runs.append(np.append(seq[gaps[g] + 1 : gaps[g + 1]], 1)), owners.append(doc), offsets.append(int(gaps[g] + 1))
+        if runs:
+            yield from _flush(phrases, runs, owners, offsets)
+
+
+def searcher(blocks):
+    """Search of (doc_id, text) rows for the test items of ``blocks``, a broadcast list of ``Phrases``."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = phrases.number.get
-        seqs, docs, offsets, held = [], [], [], 0
+        vocabulary: dict[str, int] = {}
+        seqs, docs, held = [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seq = np.array([number(w, 1) for w in words(text)], np.int64)
-                if len(seq) < WORDS:
+                found = words(text)
+                if len(found) < WORDS:
                     continue
-                gaps = np.concatenate([[-1], np.flatnonzero(seq == 1), [len(seq)]])
-                for g in np.flatnonzero(np.diff(gaps) > WORDS):
-                    run = seq[gaps[g] + 1 : gaps[g + 1]]
-                    seqs.append(np.append(run, 1)), docs.append(doc), offsets.append(int(gaps[g] + 1))
-                    held += len(run) + 1
+                seqs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int32)), docs.append(doc)
+                held += len(found)
                 if held >= SHARD_SYMBOLS:
-                    yield from _flush(phrases, seqs, docs, offsets)
-                    seqs, docs, offsets, held = [], [], [], 0
+                    yield from _search_shard(blocks.value, vocabulary, seqs, docs)
+                    vocabulary, seqs, docs, held = {}, [], [], 0
         if seqs:
-            yield from _flush(phrases, seqs, docs, offsets)
+            yield from _search_shard(blocks.value, vocabulary, seqs, docs)
 
     return search
 
@@ -205,27 +218,28 @@ def searcher(phrases: Phrases):
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, word_from, word_to)``: stretches of an item's words inside a document.
 
-    Items are a stated query set; they go to the tasks in blocks of at most
-    ``ITEMS_AT_ONCE``.  Null, empty and short texts on either side give nothing; equal
-    items are all listed.  Word numbers count the document's words from 0, ends excluded.
+    Items are a stated query set, broadcast in blocks of at most ``ITEMS_AT_ONCE``; the
+    documents are read and split into words once for all of them.  Null, empty and short
+    texts on either side give nothing; equal items are all listed.  Word numbers count
+    the document's words from 0, ends excluded.
     """
     docs = spread(documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL"))
-    found, block = [], []
+    blocks, block = [], []
 
     def add() -> None:
         phrases = Phrases(block)
         if phrases.owners:
-            found.append(docs.mapInArrow(searcher(phrases), HITS_SQL))
+            blocks.append(phrases)
 
-    for row in eval_items.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in eval_items.select("item_id", "text").where("item_id IS NOT NULL").distinct().toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == ITEMS_AT_ONCE:
             add()
             block = []
     add()
-    if not found:
+    if not blocks:
         return documents.sparkSession.createDataFrame([], HITS_SQL)
-    return reduce(DataFrame.unionByName, found)
+    return docs.mapInArrow(searcher(documents.sparkSession.sparkContext.broadcast(blocks)), HITS_SQL)
 
 
 def leaked_documents(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

