@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import term_counts as C
 
@@ -46,11 +47,32 @@ def test_empty_table(spark):
     assert C.term_counts(frame(spark, [])).count() == 0
 
 
-def test_large_term_and_rest_are_cut(spark):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", max_size=6), st.integers(1, 5))), st.integers(1, 4), st.integers(1, 9))
+def test_subtrees_hold_every_counter_once(rows, limit, most):
+    trie = C.BurstTrie(limit)
+    for term, n in rows:
+        trie.add(term, n, 1)
+    parts = trie.subtrees(most)
+    assert sorted((p + suffix, c) for p, entries in parts for suffix, c in entries) == list(trie.items())
+    assert all(len(entries) <= max(most, limit) for _, entries in parts)
+
+
+def test_long_terms_with_one_beginning(spark):
+    rows = [("x" * 3000 + str(i), i, 1, 0, None) for i in range(300)] + [("x" * 3000 + str(i), i + 1, 2, 0, None) for i in range(300)]
+    got = {r.term: (r.total_freq, r.n_docs) for r in C.term_counts(frame(spark, rows)).collect()}
+    assert got == {"x" * 3000 + str(i): (3, 2) for i in range(300)}
+
+
+def test_large_term_and_large_prefix_are_cut(spark):
+    """A hot term is one counter of each task; a prefix with many terms is routed by longer ones."""
     pairs = spark.createDataFrame([("hot", d, 1) for d in range(4000)] + [(f"w{d}", d, 1) for d in range(3000)] + [(chr(0x4E00 + d), d, 1) for d in range(3000)], "term string, doc_id long, tf long")
-    leaves, rests = C.adaptive_prefixes(pairs, 1000)
-    assert leaves["hot"] == 4000 and rests[""] == 3000
-    route, shard = C._route(leaves, rests, 1000)
-    load = pairs.groupBy(route.alias("r"), shard.alias("s")).count().collect()
-    assert sum(r["count"] for r in load) == 10_000 and max(r["count"] for r in load) < 1500
-    assert len({r.s for r in load if r.r == "hot"}) == 4
+    subtrees = pairs.select("term", "tf").repartition(4).mapInArrow(C.count_in_tries, C._SUBTREES_SQL)
+    assert subtrees.agg(F.sum("n")).first()[0] == 6004
+    large = C.large_prefixes(subtrees, 1000)
+    assert large == {"", "w", "w1", "w2"}
+    routed = subtrees.mapInArrow(C.router(spark.sparkContext.broadcast(large)), C._ROUTED_SQL)
+    load = routed.select("route", F.size("suffixes").alias("n")).groupBy("route").sum("n").collect()
+    assert sum(r[1] for r in load) == 6004 and max(r[1] for r in load) < 1000
+    merged = routed.repartition(4, "route").sortWithinPartitions("route").mapInArrow(C.merge_subtrees, C._COUNTED).collect()
+    assert len(merged) == 6001 and {r.term: (r.total_freq, r.n_docs) for r in merged}["hot"] == (4000, 4000)

@@ -1,26 +1,28 @@
 """Frequency of every distinct term by burst-trie counting.
 
-Terms are routed by adaptive prefixes: a prefix holding more than its share of
-rows is burst into longer ones, and a single term that is still too large is cut
-by a hash of the record id.  Each task counts its prefixes in a compact trie and
-the counters of equal terms (the leaves of matching subtrees) are merged.
+Each task counts its rows in a compact trie, so a hot term is one counter of each task
+however many rows it has, and hands its trie on as subtrees.  Terms are routed by
+adaptive prefixes: a prefix with more than its share of the tasks' entries is burst into
+longer ones.  Matching subtrees of all tasks meet at their route and are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import batch
 from textloom.plans.postings_skew import clean_term
-from textloom.runtime import materialize, tasks
+from textloom.runtime import materialize, spread, tasks
 
-MAX_PREFIX = 12
-FIRST_PREFIXES = 3  # lengths counted for all terms; longer ones only below large prefixes
 CONTAINER = 64  # entries of a container before it bursts
+DEPTH = 64  # characters below which containers don't burst any more
+SUBTREE = 512  # entries of a subtree handed on as one row, at most
+HELD = 300_000  # entries a task holds before it hands its trie on
 
 
 class BurstTrie:
@@ -30,12 +32,13 @@ class BurstTrie:
     order.  The empty term is a counter of the root.
     """
 
-    __slots__ = ("children", "here", "limit")
+    __slots__ = ("children", "depth", "here", "limit")
 
-    def __init__(self, limit: int = CONTAINER):
+    def __init__(self, limit: int = CONTAINER, depth: int = 0):
         self.children: dict[str, BurstTrie | dict] = {}
         self.here: list[int] | None = None
         self.limit = limit
+        self.depth = depth
 
     def add(self, term: str, *counts: int) -> None:
         node, at = self, 0
@@ -49,8 +52,8 @@ class BurstTrie:
                 held = child.get(rest)
                 if held is None:
                     child[rest] = list(counts)
-                    if len(child) > node.limit:
-                        node.children[term[at]] = burst = BurstTrie(node.limit)
+                    if len(child) > node.limit and node.depth < DEPTH:
+                        node.children[term[at]] = burst = BurstTrie(node.limit, node.depth + 1)
                         for suffix, c in child.items():
                             burst.add(suffix, *c)
                 else:
@@ -75,6 +78,32 @@ class BurstTrie:
             else:
                 yield from child.items(prefix + ch)
 
+    def subtrees(self, limit: int) -> list[tuple[str, list[tuple[str, list[int]]]]]:
+        """(prefix, entries below it) of the largest subtrees of at most ``limit`` entries; containers stay whole."""
+        out: list[tuple[str, list[tuple[str, list[int]]]]] = []
+        rest = self._cut("", limit, out)
+        if rest:
+            out.append(("", rest))
+        return out
+
+    def _cut(self, prefix: str, limit: int, out: list) -> list[tuple[str, list[int]]] | None:
+        parts, n, whole = [], 0, True
+        if self.here is not None:
+            parts.append(("", [("", self.here)]))
+            n = 1
+        for ch in sorted(self.children):
+            child = self.children[ch]
+            entries = sorted(child.items()) if type(child) is dict else child._cut(prefix + ch, limit, out)
+            if entries is None:
+                whole = False
+            else:
+                parts.append((ch, entries))
+                n += len(entries)
+        if whole and n <= limit:
+            return [(ch + suffix, c) for ch, entries in parts for suffix, c in entries]
+        out += [(prefix + ch, entries) for ch, entries in parts]
+        return None
+
 
 def current_postings(postings: DataFrame) -> DataFrame:
     """One row per (term, doc_id): the frequency written last.
@@ -89,86 +118,98 @@ def current_postings(postings: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(last.alias("tf"))
 
 
-def adaptive_prefixes(pairs: DataFrame, share: int) -> tuple[dict[str, int], dict[str, int]]:
-    """Leaves of the routing trie and the rests of its burst nodes, with their rows.
+_LISTS = [("suffixes", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))]
+_SUBTREES = pa.schema([("prefix", pa.string()), ("n", pa.int64()), *_LISTS])
+_SUBTREES_SQL = "prefix string, n long, suffixes array<string>, tfs array<long>, docs array<long>"
 
-    A node bursts until it holds at most ``share`` rows.  Only prefixes with more than
-    a 64th of that come to the driver, ``64 * rows / share`` a level at most whatever
-    the alphabet; the others stay in the rest of their parent.  A term of its own that
-    exceeds the share makes its node a leaf, and so does the length ``MAX_PREFIX``.
-    """
-    terms = materialize(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
-    below: dict[str, list[tuple[str, int, int]]] = {}
-    inside = terms
-    for lo, hi in ((1, FIRST_PREFIXES), (FIRST_PREFIXES + 1, MAX_PREFIX)):
-        depth = F.explode(F.sequence(F.lit(lo), F.least(F.length("term"), F.lit(hi))))
-        each = inside.where(F.length("term") >= lo).select("term", "n", depth.alias("k"))
-        each = each.select(F.expr("substring(term, 1, k)").alias("p"), "n", F.when(F.col("k") == F.length("term"), F.col("n")).otherwise(0).alias("own"))
-        nodes = each.groupBy("p").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where(F.col("n") * 64 > share)
-        large = []
-        for r in nodes.collect():
-            below.setdefault(r["p"][:-1], []).append((r["p"], r["n"], r["own"]))
-            if len(r["p"]) == hi and r["n"] > share:
-                large.append(r["p"])
-        if not large:
-            break
-        inside = terms.where(F.substring("term", 1, hi).isin(large))
-    leaves: dict[str, int] = {}
-    rests: dict[str, int] = {}
-    burst = [("", pairs.count(), 0)]
-    while burst:
-        p, n, own = burst.pop()
-        children = below.get(p, [])
-        rest = n - sum(c for _, c, _ in children)
-        (leaves if own > share else rests)[p] = rest
-        for child in children:
-            if child[1] > share and len(child[0]) < MAX_PREFIX:
-                burst.append(child)
-            else:
-                leaves[child[0]] = child[1]
-    return leaves, rests
 
+def count_in_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Subtrees of the burst trie that counts a task's (term, tf) rows."""
 
-def _route(leaves: dict[str, int], rests: dict[str, int], share: int) -> tuple[Column, Column]:
-    """Route of a row (longest known prefix of its term) and a shard for routes above the share.
+    def handed_on(trie: BurstTrie) -> pa.RecordBatch:
+        parts = trie.subtrees(SUBTREE)
+        column = lambda f: [[f(x) for x in entries] for _, entries in parts]
+        return batch(_SUBTREES, [p for p, _ in parts], [len(e) for _, e in parts], column(lambda x: x[0]), column(lambda x: x[1][0]), column(lambda x: x[1][1]))
 
-    A large rest holds many terms and is cut by term, a large leaf one term and is cut by record.
+    trie, held = BurstTrie(), 0
+    for b in batches:
+        for term, tf in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            trie.add(term, tf, 1)
+        held += b.num_rows
+        if held >= HELD:
+            held = sum(1 for _ in trie.items())
+            if held >= HELD:
+                yield handed_on(trie)
+                trie, held = BurstTrie(), 0
+    yield handed_on(trie)
+
+
+def large_prefixes(subtrees: DataFrame, share: int) -> set[str]:
+    """Prefixes with more than ``share`` entries: a node of the routing trie that bursts.
+
+    At most entries / share of them a level reach the driver and at most ``DEPTH`` levels count.
+    Entries of a subtree count for its prefix and all prefixes of that.
     """
-    by_len: dict[int, list[str]] = {}
-    for p in {*leaves, *rests} - {""}:
-        by_len.setdefault(len(p), []).append(p)
-    route = F.lit("")
-    for k in sorted(by_len):
-        p = F.substring("term", 1, k)
-        route = F.when(p.isin(by_len[k]), p).otherwise(route)
-    shard = F.lit(0).cast("long")
-    for parts, key in ((rests, "term"), (leaves, "doc_id")):
-        for p, n in parts.items():
-            if n > share:
-                shard = F.when(route == p, F.pmod(F.xxhash64(key), F.lit(-(-n // share)))).otherwise(shard)
-    return route, shard
+    above = F.transform(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEPTH))), lambda k: F.substring(F.col("prefix"), F.lit(1), k))
+    loads = subtrees.select(F.explode(above).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    return {r["p"] for r in loads.where(F.col("n") > share).collect()}
 
 
-_COUNTED = "term string, tf long, docs long"
-_SCHEMA = pa.schema([("term", pa.string()), ("tf", pa.int64()), ("docs", pa.int64())])
+_ROUTED = pa.schema([("route", pa.int64()), ("prefix", pa.string()), *_LISTS])
+_ROUTED_SQL = "route long, prefix string, suffixes array<string>, tfs array<long>, docs array<long>"
 
 
-def count_in_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (term, tf) rows of one task in a burst trie; memory follows its distinct terms."""
-    trie = BurstTrie()
+def router(large):
+    """Subtrees with their routes; one that reaches over several routes is cut.  ``large`` is a broadcast set."""
+
+    def route_of(term: str, big: set[str]) -> str:
+        k = 0
+        while k < len(term) and term[:k] in big:
+            k += 1
+        return term[:k]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = large.value
+        for b in batches:
+            rows = []
+            for prefix, _, suffixes, tfs, docs in zip(*(c.to_pylist() for c in b.columns)):
+                if prefix not in big:
+                    rows.append((route_of(prefix, big), prefix, suffixes, tfs, docs))
+                    continue
+                parts: dict[str, tuple[list, list, list]] = {}
+                for suffix, tf, n in zip(suffixes, tfs, docs):
+                    part = parts.setdefault(route_of(prefix + suffix, big), ([], [], []))
+                    part[0].append(suffix), part[1].append(tf), part[2].append(n)
+                rows += [(r, prefix, *part) for r, part in parts.items()]
+            if rows:
+                names, *rest = zip(*rows)
+                yield batch(_ROUTED, [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in names], *(list(c) for c in rest))
+
+    return route
+
+
+_COUNTED = "term string, total_freq long, n_docs long"
+_SCHEMA = pa.schema([("term", pa.string()), ("total_freq", pa.int64()), ("n_docs", pa.int64())])
+
+
+def merge_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of all terms from rows that come sorted by route; a task holds the trie of one route."""
+
+    def counted(trie: BurstTrie) -> pa.RecordBatch:
+        items = list(trie.items())
+        return batch(_SCHEMA, [t for t, _ in items], [c[0] for _, c in items], [c[1] for _, c in items])
+
+    trie, last = BurstTrie(), None
     for b in batches:
-        if b.num_rows:
-            frame = pd.DataFrame({"t": b.column(0).to_pandas(), "f": b.column(1).to_pandas()})
-            for term, tf, docs in frame.groupby("t", sort=False)["f"].agg(["sum", "size"]).itertuples():
-                trie.add(term, int(tf), int(docs))
-    terms, tfs, docs = [], [], []
-    for term, (tf, n) in trie.items():
-        terms.append(term), tfs.append(tf), docs.append(n)
-        if len(terms) == 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(docs, pa.int64())], schema=_SCHEMA)
-            terms, tfs, docs = [], [], []
-    if terms:
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(docs, pa.int64())], schema=_SCHEMA)
+        for route, prefix, suffixes, tfs, docs in zip(*(c.to_pylist() for c in b.columns)):
+            if last is not None and route != last:
+                yield counted(trie)
+                trie = BurstTrie()
+            last = route
+            for suffix, tf, n in zip(suffixes, tfs, docs):
+                trie.add(prefix + suffix, tf, n)
+    if last is not None:
+        yield counted(trie)
 
 
 def term_counts(postings: DataFrame, rare_below: int = 3, common_share: float = 0.2) -> DataFrame:
@@ -180,13 +221,11 @@ def term_counts(postings: DataFrame, rare_below: int = 3, common_share: float =
     frequency, nulls and blank terms do not count, no rows give no rows.
     """
     pairs = materialize(current_postings(postings), "term-doc")
+    subtrees = materialize(spread(pairs.select("term", "tf")).mapInArrow(count_in_tries, _SUBTREES_SQL), "subtrees")
     n = tasks(pairs)
-    total = pairs.count()
-    share = max(1000, total // (4 * n))
-    route, shard = _route(*adaptive_prefixes(pairs, share), share)
-    routed = pairs.select("term", "tf", route.alias("r"), shard.alias("s")).repartition(n, "r", "s").select("term", "tf")
-    part = routed.mapInArrow(count_in_tries, _COUNTED)
-    merged = part.groupBy("term").agg(F.sum("tf").alias("total_freq"), F.sum("docs").alias("n_docs"))
+    entries = subtrees.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = pairs.sparkSession.sparkContext.broadcast(large_prefixes(subtrees, max(1000, entries // (4 * n))))
+    merged = subtrees.mapInArrow(router(large), _ROUTED_SQL).repartition(n, "route").sortWithinPartitions("route").mapInArrow(merge_subtrees, _COUNTED)
     all_docs = pairs.select("doc_id").distinct().count()
     mark = F.when(F.col("n_docs") < rare_below, "rare").when(F.col("n_docs") >= F.lit(all_docs * common_share), "common")
     return merged.select("term", "total_freq", "n_docs", mark.alias("mark"))
