@@ -132,3 +132,32 @@ def test_share_of_exact_pages(spark):
     got = {(r.site, r.key) for r in B._template_coverage(line_table(spark, rows)).collect()}
     assert got == {(s, -1 - s) for s in range(10)}
     assert B._template_coverage(line_table(spark, [*rows, *[(1000, s, 1000, f"u{s}x1000") for s in range(10)]])).count() == 0
+
+
+def test_labels_pass_from_page_to_page(spark):
+    """A message no pattern knows is found where hosts show it beside a known one, on its own pages too."""
+    import re
+
+    page = lambda d, host, text: (d, f"http://{host}.test/{d}", None, f"Story {d}", "Home | News | Help\n" + text + "\nAll rights reserved.")
+    known, unknown, third = "Not found.", "Our gardeners moved this leaf elsewhere.", "Ask Mekel Wiki for the old map."
+    hosts = ("one", "two", "tre", "fou")
+    pages = [page(400 + i, h, f"{known} {unknown}") for i, h in enumerate(hosts)] + [page(410 + i, h, f"{unknown} {third.replace('Mekel', 'Kam' + h)}") for i, h in enumerate(hosts)]
+    alone = [page(420, "fiv", unknown), page(421, "six", third.replace("Mekel", "Zor"))]
+    article = " ".join(prose(50 + i) for i in range(6))
+    sound = [page(430 + i, h, f"{article} {known}") for i, h in enumerate(hosts)] + [page(440, "one", f"{known} {prose(90)}"), page(441, "two", prose(91))]
+    t = tables(spark, [*pages, *alone, *sound])
+    got = {r.doc_id for r in R.residue_documents(*t, pattern=re.compile("^not found", re.I)).collect()}
+    assert got == {r[0] for r in [*pages, *alone]}
+
+
+def test_patterns_are_tried_wherever_they_can_match():
+    import re
+
+    units = ["Error 404 - gone", "403 Forbidden", "Sorry, page NOT FOUND here", "Loading...", "ray 12ab", "You lack TypeError 'x' today", "Text text text.", "Nothing of that kind", "İ not found", "access denied", "No existe o fue movida", "retry in two minutes"]
+    text = "\n".join(units)
+    got = R.Tries(R.TRUSTED).hits(text, [(text.index(u), u) for u in units])
+    assert got == {i for i, u in enumerate(units) if R.TRUSTED.search(u)}
+    for source in (r"a+b", r"(?:xyz|abcd)e?", r"x|long word", r"[ab]cd", r"(?:ab)?cdef", r"q\d+(?:tail|toes)"):
+        pattern = re.compile(source, re.I)
+        units = ["aab", "XYZ", "abcde", "a long word", "bcd", "cdef", "abcdef", "q12tail", "q1toes", "x", "none"]
+        assert R.Tries(pattern).hits("\n".join(units), [("\n".join(units).index(u), u) for u in units]) == {i for i, u in enumerate(units) if pattern.search(u)}

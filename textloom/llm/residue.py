@@ -25,6 +25,8 @@ from textloom.runtime import materialize, spread
 
 SIMILARITY = 0.8
 SHINGLE = 5
+LABELLED = 1 / 3  # share of a page's units with a label from which on it passes labels on
+HOSTS = 3  # hosts on which a unit must stand in such pages
 
 # slots as template languages write them, with a name inside
 _NAME = r"[A-Za-z][\w.]*"
@@ -53,45 +55,110 @@ LATIN = frozenset(
     "sit consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis in reprehenderit voluptate velit esse cillum eu nulla pariatur excepteur occaecat cupidatat non sunt culpa qui deserunt mollit anim id est laborum".split()
 )
 
-# what every match of a pattern contains, in lower case: a unit without any of these holds none
-_NEEDED = {
-    "trusted": (
-        "not found|page not available|bad gateway|gateway time|internal server error|unavailable|denied|do not have permission|request blocked|reference number|too many requests|retry in"
-        "|session has expired|sign in again|maintenance|expected back in|error establishing|fatal error|traceback|error '|be found|try the search box|oops|no longer available|has moved|return to the start|closed the connection|quote incident|come back later"
-        "|checking your connection|nicht gefunden|introuvable|no existe|não existe|não foi|script|turn it on|blocks them|sample text|dummy |replace this|second column|type something|short description|headline belongs"
-    ),
-    "unset": "undefined|null|nan|none|[object",
-    # a sentence of three words or more of mock Latin has one of the longer ones
-    "latin": "|".join(sorted(w for w in LATIN if len(w) > 3)),
-}
-_AT_START = re.compile(r"(?:error\s+)?[45]\d\d|ray |loading|text ", re.I)
 _SLOT_CHARS = re.compile(r"[{\[<@$%]|__")
 
 
-def _automaton():
-    import ahocorasick
+def _alternatives(source: str) -> list[str]:
+    """The alternatives of a pattern outside all brackets."""
+    out, depth, inside, at, i = [], 0, False, 0, 0
+    while i < len(source):
+        c = source[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            out.append(source[at:i])
+            at = i + 1
+        i += 1
+    return [*out, source[at:]]
+
+
+def _literals(tree) -> set[str]:
+    """Strings of which every match of a parsed pattern holds one, the longest such set; empty if there is none."""
+    best: set[str] = set()
+    run = ""
+
+    def offer(found: set[str]) -> None:
+        nonlocal best
+        if found and all(found) and (not best or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for kind, value in [*tree, (None, None)]:
+        name = str(kind)
+        if name == "LITERAL":
+            run += chr(value)
+            continue
+        offer({run.lower()} if run else set())
+        run = ""
+        if name == "SUBPATTERN":
+            offer(_literals(value[-1]))
+        elif name == "BRANCH":
+            each = [_literals(x) for x in value[1]]
+            offer(set().union(*each) if all(each) else set())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            offer(_literals(value[2]))
+    return best
+
+
+class Tries:
+    """A pattern with many alternatives, tried only on units that hold a string some alternative needs.
+
+    The strings are read off the pattern and found in a whole text in one pass.
+    Alternatives that need no string of three characters or more are tried on every unit.
+    """
 
-    a = ahocorasick.Automaton()
-    for kind, words in _NEEDED.items():
-        for w in words.split("|"):
-            a.add_word(w, kind)
-    a.make_automaton()
-    return a
+    def __init__(self, pattern: re.Pattern):
+        import ahocorasick
+
+        self.pattern, self.words, bare = pattern, ahocorasick.Automaton(), []
+        for source in _alternatives(pattern.pattern):
+            needed = _literals(re._parser.parse(source, pattern.flags))
+            if needed and min(map(len, needed)) >= 3:
+                for w in needed:
+                    self.words.add_word(w, "trusted")
+            else:
+                bare.append(source)
+        self.at_start = re.compile("|".join(x for x in bare if x.startswith("^")), pattern.flags) if any(x.startswith("^") for x in bare) else None
+        self.anywhere = re.compile("|".join(x for x in bare if not x.startswith("^")), pattern.flags) if any(not x.startswith("^") for x in bare) else None
+        for kind, words in (("latin", [w for w in LATIN if len(w) > 3]), ("unset", ["undefined", "null", "nan", "none", "[object"])):
+            for w in words:
+                self.words.add_word(w, self.words.get(w, "") + kind)
+        self.words.make_automaton()
+
+    def places(self, text: str) -> list[tuple[int, str]] | None:
+        """(end, kinds) of needed strings in order; null if places in the text and its lower case differ."""
+        low = text.lower()
+        return list(self.words.iter(low)) if len(low) == len(text) else None
+
+    def found(self, unit: str, kinds: str) -> bool:
+        if "trusted" in kinds and self.pattern.search(unit):
+            return True
+        return (self.at_start is not None and self.at_start.match(unit) is not None) or (self.anywhere is not None and self.anywhere.search(unit) is not None)
+
+    def hits(self, text: str, units: list[tuple[int, str]]) -> set[int]:
+        """Numbers of the (place, unit) rows of a text that match."""
+        places = self.places(text)
+        kinds = lambda at, u: "trusted" if places is None else "".join(k for end, k in places if at <= end < at + len(u))
+        return {i for i, (at, u) in enumerate(units) if self.found(u, kinds(at, u))}
 
 
 _SENTENCE = re.compile(r"([.!?…])[^\S\n]+|([。！？])(?!\n)")
 _CODE = re.compile(r"/[\w./-]+|\b[^\W\d]*+\d\w*")
 _OTHER = re.compile(r"[^\w\s\x1e]+|_+")
+_NAMES = re.compile(r"[A-Z](?:(?<=[^\W\d_] .)|(?<=, .))\w*(?: [A-Z]\w*)*")
 
 
 def masked(text: str) -> str:
-    """Lower case without punctuation; paths, codes and numbers as ``0``.  White space and sentence marks stay."""
-    return _OTHER.sub(" ", _CODE.sub("0", text.lower()))
+    """Lower case without punctuation; names inside a sentence, paths, codes and numbers as ``0``.  White space and sentence marks stay."""
+    return _OTHER.sub(" ", _CODE.sub("0", _NAMES.sub("0", text).lower()))
 
 
-def trusted(unit: str) -> bool:
-    if TRUSTED.search(unit):
-        return True
+def mock_latin(unit: str) -> bool:
     words = re.findall(r"[^\W\d_]+", unit.lower())
     return len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
 
@@ -185,51 +252,57 @@ _UNITS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("key", pa.
 _UNITS_SQL = "doc_id long, line_no long, key long, slot boolean, trusted boolean, masked string"
 
 
-def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of (doc_id, title, text) rows.
+def unit_reader(pattern: re.Pattern):
+    """Reader of (doc_id, title, text) rows into units; those that match ``pattern`` are trusted.
 
     The title is line -1 and only looked at for slots.  The masked text comes with
-    its first place in a task.  Patterns are only tried on units that hold a string
-    every match needs, found for all patterns together in one pass.
+    its first place in a task.
     """
-    needed = _automaton()
-    seen: set[int] = set()
     digest = xxhash.xxh3_64_intdigest
-    for b in batches:
-        doc_ids, lines, keys, slots, oks, texts = [], [], [], [], [], []
-
-        def add(*row):
-            for column, x in zip((doc_ids, lines, keys, slots, oks, texts), row):
-                column.append(x)
-
-        for doc, title, text in zip(*(c.to_pylist() for c in b.columns)):
-            if title and (UNSET_TITLE.match(title.strip()) or has_slot(title.strip())):
-                add(doc, -1, None, True, False, None)
-            if not text:
-                continue
-            marked = _SENTENCE.sub("\\1\\2\x1e", text.replace("\x1e", " "))
-            for no, (line, raw) in enumerate(zip(masked(marked).split("\n"), marked.split("\n"))):
-                for unit, r in zip(line.split("\x1e"), raw.split("\x1e")):
-                    unit, r = " ".join(unit.split()), r.strip()
-                    if not r:
-                        continue
-                    kinds = {kind for _, kind in needed.iter(r.lower())}
-                    slot = ("unset" in kinds or _SLOT_CHARS.search(r) is not None) and has_slot(r)
-                    if not unit:
-                        if slot:
-                            add(doc, no, None, True, False, None)
-                        continue
-                    key = digest(unit) - (1 << 63)
-                    if key in seen:
-                        add(doc, no, key, slot, False, None)
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    likely = "trusted" in kinds or "latin" in kinds or _AT_START.match(r) is not None
-                    add(doc, no, key, slot, likely and trusted(r), unit)
-        if doc_ids:
-            yield batch(_UNITS, doc_ids, lines, keys, slots, oks, texts)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        tries = Tries(pattern)
+        for b in batches:
+            rows = []
+            for doc, title, text in zip(*(c.to_pylist() for c in b.columns)):
+                if title and (UNSET_TITLE.match(title.strip()) or has_slot(title.strip())):
+                    rows.append((doc, -1, None, True, False, None))
+                if not text:
+                    continue
+                marked = _SENTENCE.sub("\\1\\2\x1e", text.replace("\x1e", " "))
+                slotted = _SLOT_CHARS.search(text) is not None
+                places = tries.places(marked)
+                upcoming, start = iter(places or ()), 0
+                end, kind = next(upcoming, (1 << 62, ""))
+                for no, (line, raw) in enumerate(zip(masked(marked).split("\n"), marked.split("\n"))):
+                    for unit, r in zip(line.split("\x1e"), raw.split("\x1e")):
+                        start += len(r) + 1  # where the next unit begins
+                        kinds = "" if places is not None else "trusted latin unset"
+                        while end < start:
+                            kinds += kind
+                            end, kind = next(upcoming, (1 << 62, ""))
+                        r = r.strip()
+                        if not r:
+                            continue
+                        unit = " ".join(unit.split())
+                        slot = ("unset" in kinds or (slotted and _SLOT_CHARS.search(r) is not None)) and has_slot(r)
+                        if not unit:
+                            if slot:
+                                rows.append((doc, no, None, True, False, None))
+                            continue
+                        key = digest(unit) - (1 << 63)
+                        if key in seen:
+                            rows.append((doc, no, key, slot, False, None))
+                            continue
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(key)
+                        rows.append((doc, no, key, slot, tries.found(r, kinds) or ("latin" in kinds and mock_latin(r)), unit))
+            if rows:
+                yield batch(_UNITS, *zip(*rows))
+
+    return read
 
 
 def _shingles(text: str):
@@ -263,30 +336,62 @@ def spread_labels(units: DataFrame, texts: DataFrame) -> DataFrame:
         labels = labels.unionByName(latest)
 
 
-def residue_units(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units of all documents, keys that carry a residue label)."""
+def residue_units(documents: DataFrame, pattern: re.Pattern = TRUSTED) -> tuple[DataFrame, DataFrame]:
+    """(units of all documents, keys that carry a residue label by themselves or as a near-duplicate)."""
     docs = spread(documents.select("doc_id", "title", "text").where("doc_id IS NOT NULL"))
-    rows = materialize(docs.mapInArrow(read_units, _UNITS_SQL), "units")
+    rows = materialize(docs.mapInArrow(unit_reader(pattern), _UNITS_SQL), "units")
     firsts = rows.where("masked IS NOT NULL")
     distinct = materialize(firsts.groupBy("key").agg(F.max("trusted").alias("trusted")), "distinct-units")
     return rows, spread_labels(distinct, firsts.select("key", "masked"))
 
 
-def residue_documents(documents: DataFrame, parsed: DataFrame, responses: DataFrame) -> DataFrame:
+def _passed_on(bodies: DataFrame, labels: DataFrame) -> DataFrame:
+    """Keys that get a label from the pages they stand in.
+
+    ``bodies`` is (doc_id, site, key).  A page passes labels on when at least a share
+    ``LABELLED`` of its units carry one and all others stand on ``HOSTS`` hosts or more in such
+    pages: a message that several hosts show beside known ones.
+    """
+    marked = bodies.join(labels.withColumn("labelled", F.lit(1)), "key", "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)))
+    parts = marked.groupBy("doc_id").agg(F.avg("labelled").alias("share"))
+    likely = marked.join(parts.where((F.col("share") >= LABELLED) & (F.col("share") < 1)).select("doc_id"), "doc_id", "left_semi").where("labelled = 0").select("doc_id", "site", "key")
+    wide = likely.select("key", "site").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS).select("key")
+    known = likely.join(wide.withColumn("wide", F.lit(True)), "key", "left")
+    pages = known.groupBy("doc_id").agg(F.count_if(F.col("wide").isNull()).alias("others")).where("others = 0").select("doc_id")
+    return likely.join(pages, "doc_id", "left_semi").select("key").distinct()
+
+
+def residue_documents(documents: DataFrame, parsed: DataFrame, responses: DataFrame, pattern: re.Pattern = TRUSTED) -> DataFrame:
     """``(doc_id)`` of documents that are template residue, filler, errors or notices.
 
     The page furniture aside (found together with the parsed pages, which share
     hosts), every unit must be labelled, and one at least; a slot or unset value
     anywhere in text or title is enough.  Null and empty texts and titles are no case.
+    Labels start from units that match ``pattern``, spread to near-duplicates, and from page
+    to page, round by round, until a round adds none.
     """
-    rows, labels = residue_units(documents)
+    rows, labels = residue_units(documents, pattern)
+    labels = materialize(labels.distinct(), "labels")
     slots = rows.where("slot").select("doc_id")
-    labelled = labels.distinct().withColumn("labelled", F.lit(True))
-    some = materialize(rows.where("key IS NOT NULL").join(labelled, "key", "left_semi").select("doc_id").distinct(), "with-label")
-    mine = rows.where("line_no >= 0 AND key IS NOT NULL").join(some, "doc_id", "left_semi").join(labelled, "key", "left")
-    lines = main_body.labelled_lines(documents, parsed, responses, some.withColumnRenamed("doc_id", "record_id")).where("NOT furniture AND NOT heading")
-    body = mine.join(lines.select(F.col("record_id").alias("doc_id"), "line_no"), ["doc_id", "line_no"], "left_semi")
-    pages = body.groupBy("doc_id").agg(F.bool_and(F.coalesce("labelled", F.lit(False))).alias("all")).where("all").select("doc_id")
+    units = rows.where("line_no >= 0 AND key IS NOT NULL").select("doc_id", "line_no", "key")
+    templates = main_body.line_templates(documents, parsed, responses)
+    site = templates[0].where("origin = 'documents'").select(F.col("record_id").alias("doc_id"), "site").distinct()
+    bodies, latest = None, labels
+    while True:
+        some = units.join(latest, "key", "left_semi").select("doc_id").distinct()
+        if bodies is not None:
+            some = some.join(bodies.select("doc_id").distinct(), "doc_id", "left_anti")
+        some = materialize(some, "with-label")
+        lines = main_body.labelled_lines(*templates, some.withColumnRenamed("doc_id", "record_id")).where("NOT furniture AND NOT heading")
+        mine = units.join(some, "doc_id", "left_semi").join(lines.select(F.col("record_id").alias("doc_id"), "line_no"), ["doc_id", "line_no"], "left_semi").select("doc_id", "key")
+        new = materialize(mine.join(site, "doc_id").select("doc_id", "site", "key"), "bodies")
+        bodies = new if bodies is None else bodies.unionByName(new)
+        latest = materialize(_passed_on(bodies, labels), "labels")
+        if latest.isEmpty():
+            break
+        labels = labels.unionByName(latest)
+    marked = bodies.join(labels.withColumn("labelled", F.lit(True)), "key", "left")
+    pages = marked.groupBy("doc_id").agg(F.bool_and(F.coalesce("labelled", F.lit(False))).alias("all")).where("all").select("doc_id")
     return slots.unionByName(pages).distinct()
 
 
