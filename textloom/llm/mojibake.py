@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import batch, chunks_of, codes
-from textloom.runtime import spread
+from textloom.runtime import materialize, spread
 
-BITS = 20  # the pair table has 2**BITS counters, whatever the alphabet
+SMALLEST = -22.0  # log2 share from which on a pair's count is kept, which bounds them by 2**22; all rarer ones count as UNKNOWN
+UNKNOWN = -25.0  # log2 share of the pairs not kept
 LIMIT = -15.0  # log2 share of all pairs under which a pair is improbable
 RARE = -17.0  # a restored run has mostly pairs above this
 PLAIN = -3.0  # score of a pair of two ASCII characters
@@ -172,88 +174,126 @@ def _from_wide(run: str) -> str | None:
     return None
 
 
-def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 21) | b.astype(np.int64)
 
 
-_COUNTS = pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("plain", pa.int64())])
+_COUNTS = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("plain", pa.int64())])
+
+
+class _Counter:
+    """Exact counts of keys, gathered from arrays."""
+
+    def __init__(self):
+        self.keys, self.counts, self.parts, self.held = np.empty(0, np.int64), np.empty((0, 2), np.int64), [], 0
+
+    def add(self, keys: np.ndarray, column: int) -> None:
+        found, n = np.unique(keys, return_counts=True)
+        both = np.zeros((len(found), 2), np.int64)
+        both[:, column] = n
+        self.parts.append((found, both))
+        self.held += len(found)
+        if self.held > 1_000_000:
+            self.sum()
+
+    def sum(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.parts)])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.counts = np.stack([np.bincount(at, weights=counts[:, i], minlength=len(self.keys)).astype(np.int64) for i in (0, 1)], axis=1)
+        self.parts, self.held = [], 0
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of adjacent pairs with a non-ASCII character, summed per task; slot -1 counts all pairs.
+    """Counts of adjacent pairs with a non-ASCII character, summed per task; pair -1 counts all pairs.
 
     ``plain`` leaves out the pairs of stretches that strictly decode as UTF-8; texts that
     are certain to be garbled count there as they were.
     """
-    table, plain, total = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
+    table, total = _Counter(), 0
     stretches = Stretches()
     for _, texts in chunks_of(batches, 0, _CHUNK):
         joined = "\n".join(t for t in texts if t)
         s = folded(joined)
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
-        slots = pair_slots(s[at], s[at + 1])
-        table += np.bincount(slots, minlength=1 << BITS)
+        pairs = pair_keys(s[at], s[at + 1])
+        table.add(pairs, 0)
         total += len(s)
         kept = np.ones(len(s), bool)
         for lo, hi, _ in stretches.find(joined):
             kept[max(lo - 1, 0) : hi] = False
-        plain += np.bincount(slots[kept[at]], minlength=1 << BITS)
+        table.add(pairs[kept[at]], 1)
         if not kept.all():
             undone = [new for t in texts if t and (new := stretches.certain(t))]
             s = folded("\n".join(undone))
             high = s > 127
             at = np.flatnonzero(high[1:] | high[:-1])
-            plain += np.bincount(pair_slots(s[at], s[at + 1]), minlength=1 << BITS)
-    slots = np.flatnonzero(table + plain)
-    yield batch(_COUNTS, np.append(slots, -1), np.append(table[slots], total), np.append(plain[slots], total))
+            table.add(pair_keys(s[at], s[at + 1]), 1)
+    table.sum()
+    yield batch(_COUNTS, np.append(table.keys, -1), np.append(table.counts[:, 0], total), np.append(table.counts[:, 1], total))
 
 
-Model = tuple[np.ndarray, float, float, np.ndarray]
+@dataclass(frozen=True)
+class Model:
+    """log2 shares of pairs: sorted ``keys``, ``shares`` over all fields, ``plain`` without strictly decodable stretches; limits of improbable and rare pairs."""
+
+    keys: np.ndarray
+    shares: np.ndarray
+    plain: np.ndarray
+    unknown: float
+    limit: float
+    rare: float
+
+    def look(self, pairs: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(pairs), self.unknown, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, shares[at], np.float32(self.unknown))
 
 
 def pair_model(fields: DataFrame) -> Model:
-    """log2 share of each slot over all fields, the limits of improbable and rare pairs, and the shares without strictly decodable stretches.
+    """Shares of the pairs that are not rarer than ``SMALLEST``: at most 2**22 rows reach the driver, whatever the corpus.
 
     In a small corpus pairs seen up to three times are improbable and unseen ones rare,
-    whatever their share.  The driver holds at most twice 2**BITS numbers.
+    whatever their share.
     """
-    counts = fields.mapInArrow(count_pairs, "slot long, n long, plain long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")).toPandas()
-    total = max(1, int(counts.n[counts.slot == -1].sum()))
-    seen = counts[counts.slot >= 0]
-
-    def shares(numbers) -> np.ndarray:
-        table = np.zeros(1 << BITS)
-        table[seen.slot.to_numpy(np.int64)] = numbers.to_numpy(float)
-        return np.log2((table + 0.5) / total).astype(np.float32)
-
-    return shares(seen.n), max(LIMIT, float(np.log2(4 / total))), max(RARE, float(np.log2(1 / total))), shares(seen.plain)
+    counts = materialize(fields.mapInArrow(count_pairs, "pair long, n long, plain long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")), "pair-counts")
+    row = counts.where("pair = -1").first()
+    total = max(1, int(row["n"]) if row else 0)
+    most = F.greatest("n", "plain")
+    kept = counts.where((F.col("pair") >= 0) & (most >= F.lit(2.0**SMALLEST * total))).toPandas().sort_values("pair")
+    shares = lambda numbers: np.maximum(np.log2((numbers.to_numpy(float) + 0.5) / total), unknown).astype(np.float32)
+    unknown = max(UNKNOWN, float(np.log2(0.5 / total)))
+    return Model(kept.pair.to_numpy(np.int64), shares(kept.n), shares(kept.plain), unknown, max(LIMIT, float(np.log2(4 / total))), max(RARE, float(np.log2(1 / total))))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, in one linear pass."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum up to
+    """All maximal scoring segments (start, end, score) of a sequence, in linear time.
+
+    Each candidate knows the nearest one before it whose sum before it is lower, so
+    that the search back never visits a candidate in between again.
+    """
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to, nearest lower candidate
     total = 0.0
     for i, s in enumerate(scores):
         total += s
         if s <= 0:
             continue
-        start, before = i, total - s
+        start, before, k = i, total - s, len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= before:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= total:
                 break
-            start, before = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((start, i + 1, before, total))
-    return [(a, b, y - x) for a, b, x, y in stack]
+            start, before, k, cut = stack[k][0], stack[k][2], stack[k][4], k
+            del stack[cut:]
+        stack.append((start, i + 1, before, total, k))
+    return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
 # replacement or C1 characters next to letters or digits: bytes were lost there, nothing can be restored
+_NO_TEXT = re.compile("[\ufffd\x80-\x9f]")
 _LOST = re.compile("(?<=[^\\W_])[\ufffd\x80-\x9f]+|[\ufffd\x80-\x9f]+(?=[^\\W_])")
 _QUOTES = {"“": "”", "‘": "’", "„": "“", "«": "»", '"': '"', "'": "'", "`": "`", "「": "」", "(": ")"}
 
@@ -268,7 +308,7 @@ class Restorer:
     """Finds and undoes wrong decodings in single texts, given a pair model."""
 
     def __init__(self, model: Model):
-        self.model, self.limit, self.rare, self.reference = model
+        self.model, self.limit, self.rare = model, model.limit, model.rare
         self.stretches = Stretches()
         self.known: dict[str, str | None] = {}
         self.mapped: dict[str, dict[tuple[str, str], tuple[str, float]]] = {}
@@ -278,7 +318,7 @@ class Restorer:
         s = folded(text)
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
-        return at, self.model[pair_slots(s[at], s[at + 1])]
+        return at, self.model.look(pair_keys(s[at], s[at + 1]), self.model.shares)
 
     def mean(self, text: str) -> float:
         """Mean log2 share of the pairs with a non-ASCII character; plain text counts as probable."""
@@ -291,6 +331,10 @@ class Restorer:
         if not len(at):
             return []
         score = np.minimum(self.limit - logs, 10.0)
+        if _NO_TEXT.search(text):  # characters that no text is written with, however often they stand there
+            s = codes(text)
+            none = (s == 0xFFFD) | ((s >= 0x80) & (s < 0xA0))
+            score = np.where(none[at] | none[at + 1], 10.0, score)
         if not (score > 0).any():
             return []
         values, spots, last = [], [], None
@@ -410,7 +454,7 @@ class Restorer:
         s = folded(text)
         high = s > 127
         at = np.flatnonzero(high[1:] | high[:-1])
-        return float(self.reference[pair_slots(s[at], s[at + 1])].mean()) if len(at) else self.rare / 2
+        return float(self.model.look(pair_keys(s[at], s[at + 1]), self.model.plain).mean()) if len(at) else self.rare / 2
 
     def deepest(self, outcomes: dict[str, str]) -> list[str]:
         """The outcomes of a strict decoding and of those nested in it; each step is shorter, so this ends."""
@@ -473,7 +517,7 @@ class Restorer:
         if rest:
             for i, n in zip(rest, self.remap([text[slice(*spans[i])] for i in rest])):
                 new[i] = n
-        lost = sum(not self.quoted(text, m.start(), m.end()) for m in _LOST.finditer(text))
+        lost = sum(not self.quoted(text, m.start(), m.end()) and any(lo < m.end() and m.start() < hi for lo, hi in spans) for m in _LOST.finditer(text)) if spans else 0
         then = [(lo, hi, n) for (lo, hi), n in zip(spans, new) if n is not None]
         undone = len(first) + len(then)
         return undone + lost, undone, self.replaced(text, then)
