@@ -101,8 +101,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | Rules | None = None, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """``(page_id, url, html)`` of up to ``max_pages`` pages reached from ``seeds`` (url, seq).
 
-    Each round fetches what the frontier holds in politeness order, as far as the page
-    budget goes, keeps pages, and pushes their links behind what it had no budget for.
+    Each round fetches what the frontier holds in politeness order, as many URLs as should
+    fill the page budget by the share of pages so far, keeps pages, and pushes their links
+    behind what was not fetched.
     Ends on the budget or an empty frontier.  ``rules`` is a table of all hosts or a
     function that gets the rules of hosts when they are first met.  Frontier rows are
     numbered anew in each round; rounds are appended to tables in shared storage, so
@@ -124,7 +125,7 @@ def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | Rules | None = No
         hosts.append(new)
         return R.allowed(front, met.read())
 
-    front, waiting, crawled, round_ = Q.push(None, seeds.select("url", F.struct(F.lit(0).alias("s"), F.col("seq").cast("long").alias("pos")).alias("seq"))), None, 0, 0
+    front, waiting, crawled, fetched, round_ = Q.push(None, seeds.select("url", F.struct(F.lit(0).alias("s"), F.col("seq").cast("long").alias("pos")).alias("seq"))), None, 0, 0, 0
     while config.max_rounds is None or round_ < config.max_rounds:
         fresh = materialize(front, "fresh")
         seen.append(fresh.select("url"))
@@ -132,10 +133,15 @@ def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame | Rules | None = No
         if waiting is not None:
             queue = waiting.unionByName(queue)
         queue = materialize(Q.schedule(number(queue, "order", "seq").drop("order"), config.delay_ms), "frontier")
-        turn = materialize(queue.orderBy("ready_ms", "seq", "url").limit(config.max_pages - crawled), "turn")
-        if turn.isEmpty():
+        room = config.max_pages - crawled
+        most = -(-room * max(1, fetched) // max(1, crawled)) if fetched else room  # as many as should fill the budget
+        turn = materialize(queue.orderBy("ready_ms", "seq", "url").limit(min(most, 2**31 - 1)), "turn")
+        n = turn.count()
+        if not n:
             break
-        got = materialize(is_page(fetch(turn.select("url", "ready_ms"))).select("url", "body").join(turn.select("url", "ready_ms", "seq"), "url"), "fetched")
+        fetched += n
+        answers = is_page(fetch(turn.select("url", "ready_ms"))).select("url", "body").join(turn.select("url", "ready_ms", "seq"), "url")
+        got = materialize(answers.orderBy("ready_ms", "seq", "url").limit(room) if most > room else answers, "fetched")
         pages.append(got.select(F.lit(round_).alias("round"), "ready_ms", "seq", "url", F.col("body").alias("html")))
         crawled += got.count()
         if crawled >= config.max_pages:
