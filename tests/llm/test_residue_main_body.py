@@ -116,6 +116,43 @@ def test_long_notices_are_furniture(spark):
     assert {(d, n) for o, d, n in got if d >= 900} == {(900 + i, 1) for i in range(12)}
 
 
+def notice(i, words=1):
+    """A long notice with words of its own on every page."""
+    r = random.Random(9000 + i)
+    word = " ".join("".join(r.choice("nopqrstuvw") for _ in range(7)) for _ in range(words))
+    return f"We and our {300 + i} partners store and read information on your device to measure how {word} uses the pages, choose what is shown beside them and keep {word} safe, unless you object in the settings of the publisher."
+
+
+def test_long_notices_with_differing_words_are_furniture(spark, monkeypatch):
+    pages = [(900 + i, f"http://one.test/n{i}", None, f"T{i}", f"{prose(400 + i)}\n{notice(i)}") for i in range(12)]
+    pages += [(920 + i, f"http://two.test/n{i}", None, f"T{i}", f"{prose(420 + i)}\n{notice(20 + i)}") for i in range(12)]
+    pages.append((940, "http://new.test/n", None, "T", f"{prose(440)}\n{notice(40)}"))  # as on the other hosts
+    assert all(len(p[4].split("\n")[1]) > B.SHORT for p in pages)
+    for group in (B.GROUP, 1000):  # a site in one group, then in several
+        monkeypatch.setattr(B, "GROUP", group)
+        got = {tuple(r) for r in B.furniture_lines(*tables(spark, pages)).collect()}
+        assert {(d, n) for o, d, n in got if d >= 900} == {(p[0], 1) for p in pages}
+
+
+def test_notices_around_the_limit_of_long_lines(spark):
+    """One long line among shorter ones of its template."""
+    short = "Our office may store what you read on this device to measure how {0} uses these pages and to keep them safe for all readers of the {1}"
+    lines = [short.format(chr(110 + i) * 5, "letter" if i else "weekly letter, and of every other paper that our house has printed") for i in range(12)]
+    assert len(lines[0]) > B.SHORT > max(map(len, lines[1:])) > B.WIDE
+    rows = [("documents", i, 1, i, len(x) <= B.SHORT, B.normal(x)) for i, x in enumerate(lines)]
+    table = spark.createDataFrame(rows, "origin string, record_id long, site long, key long, short boolean, line string")
+    assert {r.key for r in B._template_coverage(table).where("covered >= 0.6").collect()} == set(range(12))
+
+
+def test_phrases_of_articles_are_no_template(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    phrases = [[f"{word()} {word()} {word()}" for _ in range(12)] for _ in range(3)]
+    pages = [(900 + i, f"http://one.test/n{i}", None, f"T{i}", " ".join(" ".join(r.choice(p) for p in phrases).capitalize() + "." for _ in range(5))) for i in range(40)]
+    got = {tuple(r) for r in B.furniture_lines(*tables(spark, pages)).collect()}
+    assert {d for o, d, n in got if d >= 900} == set()
+
+
 def line_table(spark, rows):
     return spark.createDataFrame([("documents", d, s, k, True, x) for d, s, k, x in rows], "origin string, record_id long, site long, key long, short boolean, line string")
 

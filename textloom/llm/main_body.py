@@ -7,8 +7,9 @@ host with equal vectors form an equivalence class; classes that are large and
 frequent enough are template.  Lines nest classes: a line covered by template roles
 is template as a whole, and what is left are the slots that hold the content.  Roles
 that are template on several hosts with many pages each are so everywhere, which
-serves small hosts.  Lines too long for roles are template where they stand as a
-whole on as many pages.  The slots' lines are then bounded by the first and the
+serves small hosts.  Prose repeats short phrases, so a wide line is template where
+classes with many roles in it, or one with most of its roles, cover it; a long line
+also where it stands as a whole on as many pages.  The slots' lines are then bounded by the first and the
 last line of running text: unlabelled lines outside, such as links to other
 articles under a sidebar heading, belong to the page and not to the article.
 """
@@ -18,15 +19,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batch, site_of
-from textloom.runtime import materialize, spread
+from textloom.llm.common import batch, mix, site_of
+from textloom.runtime import materialize, spread, tasks
 
-SHORT = 160  # longer lines have no roles and are compared whole
+SHORT = 160  # up to here any classes may cover a line; longer ones are compared whole too
+WIDE = 96  # longer lines have roles of their own: COVERED of SHORT, so that they hold all lines of a template that has long ones
+WIDE_CLASS = 10  # roles in a wide line of a class that covers it, if it has not COVERED of them
+GROUP = 1 << 23  # characters of a site's wide lines that are counted as one group
 MIN_PAGES = 3  # pages of a host a template role needs
 MIN_SHARE = 0.04  # and their share of the host's pages
 CLASS_SIZE = 2  # roles of a valid class
@@ -59,13 +64,43 @@ def normal(text: str) -> str:
     return _DIGITS.sub("0", _BLANKS.sub(" ", text.lower()))
 
 
-def roles_of(norm: str) -> list[int]:
-    """64-bit hashes of (token before, token) of a normalised line, its end included."""
-    out, before = [], "\x02"
-    for t in [*_TOKEN.findall(norm), "\x03"]:
-        out.append(xxhash.xxh3_64_intdigest(f"{before}\x01{t}") - (1 << 63))
-        before = t
-    return out
+class _Hashes(dict):
+    """64-bit hashes of tokens."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = h = xxhash.xxh3_64_intdigest(token)
+        return h
+
+
+def roles_of(norms: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (token before, token) of normalised lines, their ends included, and how many each line has."""
+    tokens, sizes = [], []
+    for norm in norms:
+        found = _TOKEN.findall(norm)
+        tokens += found
+        tokens.append("\x03")
+        sizes.append(len(found) + 1)
+    now = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    before = np.roll(now, 1)  # a line begins after the end of another one
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now).view(np.int64), np.array(sizes, np.int64)
+
+
+def _distinct(roles: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(role, line) pairs once each, by role; the lines are in order."""
+    order = np.argsort(roles, kind="stable")
+    roles, line = roles[order], line[order]
+    new = np.ones(len(roles), bool)
+    new[1:] = (roles[1:] != roles[:-1]) | (line[1:] != line[:-1])
+    return roles[new], line[new]
+
+
+def _lists(roles: np.ndarray, line: np.ndarray, lines: int) -> pa.Array:
+    """A list of roles for each of ``lines`` lines."""
+    ends = np.zeros(lines + 1, np.int32)
+    np.cumsum(np.bincount(line, minlength=lines), out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(roles[np.argsort(line, kind="stable")]))
 
 
 _ROWS = pa.schema([
@@ -78,7 +113,8 @@ _ROWS_SQL = "origin string, record_id long, site long, line_no int, key long, co
 def read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per non-blank line of (origin, record_id, site, title, text).
 
-    A short line's normalised text comes with its first place in a task only.
+    Normalised text comes with every wide line, of others with their first place in a
+    task; where it comes again changes nothing.
     ``content`` marks running text, messages, marked list items and unset values; ``heading``
     a line that begins the title (null without a title), ``link`` breadcrumbs and
     links to other articles.
@@ -95,12 +131,13 @@ def read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 key = xxhash.xxh3_64_intdigest(n) - (1 << 63)
                 short = len(n) <= SHORT
-                text_of = None
-                if short and (site, key) not in seen:
-                    if len(seen) > 500_000:
+                text_of = n
+                if len(n) <= WIDE:
+                    if (site, key) in seen:
+                        text_of = None
+                    elif len(seen) > 500_000:
                         seen.clear()
                     seen.add((site, key))
-                    text_of = n
                 stripped = line.strip()
                 ends = len(n) >= 12 and stripped.rstrip(_CLOSING)[-1:] in _ENDS
                 content = len(n) >= 110 or ends or _MESSAGE.search(stripped) is not None or _MARKED.match(stripped) is not None or (slots and _SLOT.search(line) is not None)
@@ -115,9 +152,102 @@ _DISTINCT = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n", pa.int64
 
 def read_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(site, key, n, y, line) rows with the line's distinct roles in place of its text."""
+    hashes = _Hashes()
+    for b in batches:
+        if b.num_rows:
+            roles, sizes = roles_of(b.column(4).to_pylist(), hashes)
+            yield batch(_DISTINCT, *b.columns[:4], _lists(*_distinct(roles, np.repeat(np.arange(len(sizes)), sizes)), len(sizes)))
+
+
+_WIDE = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("y", pa.int64()), ("n_roles", pa.int64()), ("roles", pa.list_(pa.int64()))])
+_WIDE_SQL = "site long, key long, n long, y long, n_roles long, roles array<long>"
+
+
+def _count_roles(site: int, whole: bool, lines: dict[int, list], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
+    """The rows of ``read_wide`` for one group."""
+    parts, held, size = [], [], 0
+    for _, _, norm in lines.values():
+        held.append(norm)
+        size += len(norm)
+        if size > 1 << 20:
+            parts.append(roles_of(held, hashes))
+            held, size = [], 0
+    if held:
+        parts.append(roles_of(held, hashes))
+    roles, sizes = (np.concatenate(x) for x in zip(*parts))
+    roles, line = _distinct(roles, np.repeat(np.arange(len(sizes)), sizes))
+    n_roles = np.bincount(line, minlength=len(sizes))
+    n = np.array([x[0] for x in lines.values()], np.int64)
+    y = np.array([x[1] & ((1 << 64) - 1) for x in lines.values()], np.uint64)
+    starts = np.flatnonzero(np.r_[True, roles[1:] != roles[:-1]])
+    rn, ry = np.add.reduceat(n[line], starts), np.add.reduceat(y[line], starts)
+    keep = np.ones(len(starts), bool)
+    if whole:  # the counts are final
+        keep = rn >= MIN_PAGES
+        _, which, members = np.unique(mix(ry + rn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+        keep &= np.bincount(which, weights=keep, minlength=len(members))[which] >= CLASS_SIZE
+    kept = np.repeat(keep, np.diff(np.r_[starts, len(roles)]))
+    found = np.flatnonzero(np.bincount(line, weights=kept, minlength=len(sizes)) >= COVERED * n_roles)
+    place = np.full(len(sizes), -1)
+    place[found] = np.arange(len(found))
+    kept &= place[line] >= 0
+    keys = np.array(list(lines), np.int64)
+    vectors = int(keep.sum())
+    if vectors:
+        yield batch(_WIDE, np.full(vectors, site), roles[starts][keep], rn[keep], ry[keep].view(np.int64), np.zeros(vectors, np.int64), [None] * vectors)
+    if len(found):
+        yield batch(_WIDE, np.full(len(found), site), keys[found], n[found], y[found].view(np.int64), n_roles[found], _lists(roles[kept], place[line[kept]], len(found)))
+
+
+def read_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrence vectors of the roles of (site, part, parts, key, page, line) rows, a group being a site's part, and lines that they may cover.
+
+    A role comes as (site, role, n, y, 0, null), a line as (site, key, n, y, n_roles,
+    roles).  Where a group is all of a site, roles that are in no class and lines that
+    cannot be covered are left out.
+    """
+    hashes, at, lines = _Hashes(), None, {}
     for b in batches:
-        roles = [list(dict.fromkeys(roles_of(t))) for t in b.column(4).to_pylist()]
-        yield batch(_DISTINCT, *b.columns[:4], roles)
+        for site, part, parts, key, page, norm in zip(*(c.to_pylist() for c in b.columns)):
+            if (site, part, parts) != at:
+                if lines:
+                    yield from _count_roles(at[0], at[2] == 1, lines, hashes)
+                at, lines = (site, part, parts), {}
+            if (e := lines.get(key)) is None:
+                lines[key] = [1, page, norm]
+            else:
+                e[0] += 1
+                e[1] += page
+    if lines:
+        yield from _count_roles(at[0], at[2] == 1, lines, hashes)
+
+
+_COMMON = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n_roles", pa.int64()), ("roles", pa.list_(pa.int64()))])
+_BITS = 24  # of a filter before the exact comparison
+
+
+def read_common(words: np.ndarray):
+    """(site, key, line) rows to (site, key, n_roles, roles) of the lines that ``words``, a filter of roles, may cover."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            roles, sizes = roles_of(b.column(2).to_pylist(), hashes)
+            roles, line = _distinct(roles, np.repeat(np.arange(len(sizes)), sizes))
+            n_roles = np.bincount(line, minlength=len(sizes))
+            bit = roles & ((1 << _BITS) - 1)
+            hit = (words[bit >> 5] >> (bit & 31)) & 1 == 1
+            found = np.flatnonzero(np.bincount(line, weights=hit, minlength=len(sizes)) >= COVERED * n_roles)
+            place = np.full(len(sizes), -1)
+            place[found] = np.arange(len(found))
+            hit &= place[line] >= 0
+            if len(found):
+                rows = pa.array(found)
+                yield batch(_COMMON, b.column(0).take(rows), b.column(1).take(rows), n_roles[found], _lists(roles[hit], place[line[hit]], len(found)))
+
+    return read
 
 
 def _wrapping_sum(col: str):
@@ -126,8 +256,48 @@ def _wrapping_sum(col: str):
     return F.shiftleft(high + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(0xFFFFFFFF))
 
 
+def _wide_templates(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(site, key)`` of wide lines that their own roles show as template."""
+    wide = lines.where(F.length("line") > WIDE).select("site", "key", F.xxhash64("origin", "record_id").alias("page"), "line")
+    # a row for GROUP characters at most
+    large = wide.groupBy("site").agg(F.ceil(F.sum(F.length("line")) / F.lit(GROUP)).cast("int").alias("parts")).where("parts > 1")
+    parted = wide.join(F.broadcast(materialize(large, "large-sites")), "site", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parted = parted.select("site", F.expr("cast(pmod(key, parts) as int)").alias("part"), "parts", "key", "page", "line")
+    placed = parted.repartition(tasks(lines), "site", "part").sortWithinPartitions("site", "part")
+    counted = materialize(placed.mapInArrow(read_wide, _WIDE_SQL), "wide-roles")
+    vectors = counted.where("n_roles = 0").groupBy("site", F.col("key").alias("role")).agg(F.sum("n").alias("rn"), _wrapping_sum("y").alias("ry")).where(F.col("rn") >= MIN_PAGES)
+    often = materialize(vectors.join(pages, "site").where(F.col("rn") >= F.col("pages") * F.lit(MIN_SHARE)).select("site", "role", "rn", "ry"), "frequent-wide-roles")
+    classes = often.groupBy("site", "rn", "ry").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS_SIZE)
+    own = often.join(classes, ["site", "rn", "ry"], "left_semi")
+    each = counted.where("n_roles > 0").select("site", "key", "n_roles", F.explode("roles").alias("role"))
+    hits = materialize(each.join(own.hint("merge"), ["site", "role"]).select("site", "key", "n_roles", "role", "rn", "ry"), "wide-hits")
+    covers = F.col("c") >= F.col("n_roles") * F.lit(COVERED)
+    inside = hits.groupBy("site", "key", "n_roles", "rn", "ry").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") >= WIDE_CLASS) | covers)
+    near = inside.groupBy("site", "key", "n_roles").agg(F.sum("c").alias("c")).where(covers)
+    near = materialize(inside.join(near, ["site", "key"], "left_semi"), "wide-lines")
+    # the lines that a class covers stand on as many pages themselves
+    on = lines.select("site", "key", "origin", "record_id").join(near.select("site", "key", "rn", "ry"), ["site", "key"])
+    valid = on.groupBy("site", "rn", "ry").agg(F.countDistinct("origin", "record_id").alias("n")).where(F.col("n") >= MIN_PAGES)
+    sure = materialize(near.join(valid, ["site", "rn", "ry"], "left_semi"), "wide-classes")
+    template = sure.groupBy("site", "key", "n_roles").agg(F.sum("c").alias("c")).where(covers).select("site", "key")
+    found = hits.where(F.col("rn") >= COMMON_PAGES).join(sure.join(template, ["site", "key"], "left_semi"), ["site", "key", "rn", "ry"], "left_semi")
+    shown = found.groupBy("role").agg(F.countDistinct("site").alias("hosts"))
+    common = materialize(shown.where(F.col("hosts") >= COMMON_HOSTS).select("role"), "common-wide-roles")
+    # a bit for a role in at most 2 ** _BITS
+    bit = F.col("role").bitwiseAND((1 << _BITS) - 1)
+    filled = common.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(role & 31 as int))")).alias("bits")).toArrow()
+    if not filled.num_rows:
+        return template
+    words = np.zeros(1 << (_BITS - 5), np.int64)
+    words[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    near = wide.select("site", "key", "line").mapInArrow(read_common(words), "site long, key long, n_roles long, roles array<long>")
+    near = near.select("site", "key", "n_roles", F.explode("roles").alias("role")).join(common, "role", "left_semi")
+    near = near.groupBy("site", "key", "n_roles").agg(F.countDistinct("role").alias("c")).where(covers)
+    return template.unionByName(near.select("site", "key")).distinct()
+
+
 def _template_coverage(lines: DataFrame) -> DataFrame:
-    """``(site, key, covered)``: share of template roles of every distinct line that has any, 1 for a repeated long line."""
+    """``(site, key, covered)``: share of template roles of every distinct line that has any, 1 for a wide line found by its own."""
     page = F.xxhash64("origin", "record_id")
     pages = lines.groupBy("site").agg(F.countDistinct("origin", "record_id").alias("pages"))
     # a page counts as often as the role stands in it: an XOR would drop even counts
@@ -149,9 +319,9 @@ def _template_coverage(lines: DataFrame) -> DataFrame:
     long = materialize(lines.where("NOT short").groupBy("site", "key").agg(F.countDistinct("origin", "record_id").alias("n")), "long-lines")
     repeated = long.where(F.col("n") >= MIN_PAGES).join(pages, "site").where(F.col("n") >= F.col("pages") * F.lit(MIN_SHARE)).select("site", "key", "n")
     known = repeated.where(F.col("n") >= COMMON_PAGES).groupBy("key").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= COMMON_HOSTS)
-    whole = repeated.select("site", "key").unionByName(long.join(known, "key", "left_semi").select("site", "key")).distinct()
+    whole = repeated.select("site", "key").unionByName(long.join(known, "key", "left_semi").select("site", "key")).unionByName(_wide_templates(lines, pages))
     covered = hits.select("site", "key", (F.col("hits") / F.col("n_roles")).alias("covered"))
-    return covered.unionByName(whole.withColumn("covered", F.lit(1.0)))
+    return covered.unionByName(whole.withColumn("covered", F.lit(1.0))).groupBy("site", "key").agg(F.max("covered").alias("covered"))
 
 
 def page_lines(documents: DataFrame, parsed: DataFrame, responses: DataFrame) -> DataFrame:
