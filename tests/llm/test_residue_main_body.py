@@ -198,3 +198,42 @@ def test_patterns_are_tried_wherever_they_can_match():
         pattern = re.compile(source, re.I)
         units = ["aab", "XYZ", "abcde", "a long word", "bcd", "cdef", "abcdef", "q12tail", "q1toes", "x", "none"]
         assert R.Tries(pattern).hits("\n".join(units), [("\n".join(units).index(u), u) for u in units]) == {i for i, u in enumerate(units) if pattern.search(u)}
+
+
+def test_units_come_with_their_prefixes(spark, monkeypatch):
+    """The texts are not read a second time for them."""
+    texts = [f"{prose(i)} Not found. … -- !\n\n{prose(i)} {prose(i + 1)}" for i in range(40)]
+    docs = spark.createDataFrame([(i, None, x) for i, x in enumerate(texts)], "doc_id long, title string, text string").toArrow()
+    rows = [r for b in R.unit_reader(R.TRUSTED)(iter(docs.to_batches())) for r in b.to_pylist()]
+    firsts = [r for r in rows if r["masked"] is not None]
+    owner, v = R.prefixes([r["masked"] for r in firsts])
+    assert [r["prefix"] for r in firsts] == [v[owner == i].tolist() for i in range(len(firsts))] and len(v) > len(firsts) / 2
+    assert not any(r["prefix"] for r in rows if r["masked"] is None)
+
+    def again(batches):
+        raise AssertionError("texts read again")
+
+    monkeypatch.setattr(R, "read_prefixes", again)
+    units, labels = R.residue_units(spark.createDataFrame([(1, None, "Not found.")], "doc_id long, title string, text string"))
+    assert labels.count() == 1
+
+
+def test_words_are_masked_as_in_the_whole_text():
+    r = random.Random(8)
+    masks = R._Masks()
+    for _ in range(3000):
+        text = "".join(r.choice("aB1_/.- \t\x1c,;'Σßİ́日٣²…！") for _ in range(r.randrange(50)))
+        whole = R._OTHER.sub(" ", R._CODE.sub("0", text.lower()))
+        assert R.masked(text, masks) == " ".join(whole.split())
+
+
+def test_roles_are_pairs_of_tokens():
+    import re
+
+    r = random.Random(9)
+    lines = [B.normal("".join(r.choice("abAB1_/.- \t\x03\x1c,;'Σßİ́日٣²…！😀") for _ in range(r.randrange(12)))) for _ in range(3000)]
+    roles, sizes = B.roles_of(lines)
+    tokens = [[*re.findall(r"\w+|[^\w\s]", x), "\x03"] for x in lines]
+    pairs = [p for t in tokens for p in zip(["\x03", *t], t)]
+    assert sizes.tolist() == [len(t) for t in tokens]
+    assert len(pairs) == len(roles) and len(set(pairs)) == len(set(roles.tolist())) == len(set(zip(pairs, roles.tolist())))

@@ -33,6 +33,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def run_hashes(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of symbols from one of ``starts`` to the next, of which the first is 0; zeros at its end change nothing."""
+    sizes = np.diff(starts, append=len(symbols))
+    power = np.cumprod(np.full(sizes.max(), _MUL, np.uint64))
+    place = np.arange(len(symbols)) - np.repeat(starts, sizes)
+    return mix(np.add.reduceat(symbols.astype(np.uint64) * power[place], starts))
+
+
 def rolling(symbols: np.ndarray, k: int, base: int = 0x100000001B3) -> np.ndarray:
     """Polynomial hash (mod 2**64) of every window of ``k`` symbols, by doubling.
 

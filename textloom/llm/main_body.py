@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batch, mix, site_of
+from textloom.llm.common import batch, codes, mix, run_hashes, site_of
 from textloom.runtime import materialize, spread, tasks
 
 SHORT = 160  # up to here any classes may cover a line; longer ones are compared whole too
@@ -41,8 +41,7 @@ COVERED = 0.6  # share of a line's roles that makes it template
 HEAD_COVERED = 0.3  # the same before the running text begins
 UNTITLED_COVERED = 0.45  # and there in a page without a title, whose headline is not known
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-_BLANKS = re.compile(r"[^\S\n]+")
+_WORD, _OTHER = re.compile(r"\w"), re.compile(r"[^\w\s]")  # a token is a run of the first or one of the second
 _DIGITS = re.compile("[0-9]+")
 _ENDS = frozenset(".!?…。！？;")
 _CLOSING = "\"'“”’»)]"
@@ -60,31 +59,46 @@ _SLOT = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|#\{.*?\}|<%.*?%>|\{%.*?%\}|\[\[.*?\]\
 
 
 def normal(text: str) -> str:
-    """Lower case, one blank per run of white space, ``0`` per number; line feeds stay."""
-    return _DIGITS.sub("0", _BLANKS.sub(" ", text.lower()))
+    """Lines in lower case with one blank per run of white space inside and none around them, ``0`` per number."""
+    return "\n".join([" ".join(line.split()) for line in _DIGITS.sub("0", text.lower()).split("\n")])
 
 
-class _Hashes(dict):
-    """64-bit hashes of tokens."""
+_KINDS = np.full(0x110000, 3, np.uint8)  # of characters: 0 white space, 1 of a word, 2 other, 3 not looked up yet
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = h = xxhash.xxh3_64_intdigest(token)
-        return h
 
+def _kinds(symbols: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[symbols]
+    if (kinds == 3).any():
+        for c in np.unique(symbols[kinds == 3]).tolist():
+            _KINDS[c] = 1 if _WORD.match(chr(c)) else 2 if _OTHER.match(chr(c)) else 0
+        kinds = _KINDS[symbols]
+    return kinds
 
-def roles_of(norms: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+
+def roles_of(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (token before, token) of normalised lines, their ends included, and how many each line has."""
-    tokens, sizes = [], []
-    for norm in norms:
-        found = _TOKEN.findall(norm)
-        tokens += found
-        tokens.append("\x03")
-        sizes.append(len(found) + 1)
-    now = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    before = np.roll(now, 1)  # a line begins after the end of another one
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now).view(np.int64), np.array(sizes, np.int64)
+    roles, sizes, lo, held = [], [], 0, 0
+    for i, norm in enumerate(norms):
+        held += len(norm)
+        if held < 1 << 20 and i + 1 < len(norms):
+            continue
+        part = norms[lo : i + 1]
+        symbols = codes("\x03".join(part) + "\x03")
+        kinds = _kinds(symbols)
+        word = kinds == 1
+        first = kinds > 0
+        first[1:] &= ~(word[1:] & word[:-1])
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        sizes.append(np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0))
+        first[0] = True
+        starts = np.flatnonzero(first)
+        now = run_hashes(np.where(kinds > 0, symbols, 0), starts)
+        if kinds[0] == 0:
+            now = now[1:]
+        before = np.roll(now, 1)  # a line begins after the end of another one
+        roles.append(mix(before * np.uint64(0x9E3779B97F4A7C15) + now).view(np.int64))
+        lo, held = i + 1, 0
+    return np.concatenate(roles), np.concatenate(sizes)
 
 
 def _distinct(roles: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +137,9 @@ def read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for origin, rid, site, title, text in zip(*(c.to_pylist() for c in b.columns)):
-            head = normal(title.replace("\n", " ")).strip() if title else ""
+            head = normal(title.replace("\n", " ")) if title else ""
             slots = any(c in text for c in "{[<@$%_") or "NaN" in text or "undefined" in text or "null" in text
             for no, (line, n) in enumerate(zip(text.split("\n"), normal(text).split("\n"))):
-                n = n.strip()
                 if not n:
                     continue
                 key = xxhash.xxh3_64_intdigest(n) - (1 << 63)
@@ -152,10 +165,9 @@ _DISTINCT = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n", pa.int64
 
 def read_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(site, key, n, y, line) rows with the line's distinct roles in place of its text."""
-    hashes = _Hashes()
     for b in batches:
         if b.num_rows:
-            roles, sizes = roles_of(b.column(4).to_pylist(), hashes)
+            roles, sizes = roles_of(b.column(4).to_pylist())
             yield batch(_DISTINCT, *b.columns[:4], _lists(*_distinct(roles, np.repeat(np.arange(len(sizes)), sizes)), len(sizes)))
 
 
@@ -163,18 +175,9 @@ _WIDE = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n", pa.int64()),
 _WIDE_SQL = "site long, key long, n long, y long, n_roles long, roles array<long>"
 
 
-def _count_roles(site: int, whole: bool, lines: dict[int, list], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
+def _count_roles(site: int, whole: bool, lines: dict[int, list]) -> Iterator[pa.RecordBatch]:
     """The rows of ``read_wide`` for one group."""
-    parts, held, size = [], [], 0
-    for _, _, norm in lines.values():
-        held.append(norm)
-        size += len(norm)
-        if size > 1 << 20:
-            parts.append(roles_of(held, hashes))
-            held, size = [], 0
-    if held:
-        parts.append(roles_of(held, hashes))
-    roles, sizes = (np.concatenate(x) for x in zip(*parts))
+    roles, sizes = roles_of([x[2] for x in lines.values()])
     roles, line = _distinct(roles, np.repeat(np.arange(len(sizes)), sizes))
     n_roles = np.bincount(line, minlength=len(sizes))
     n = np.array([x[0] for x in lines.values()], np.int64)
@@ -206,12 +209,12 @@ def read_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roles).  Where a group is all of a site, roles that are in no class and lines that
     cannot be covered are left out.
     """
-    hashes, at, lines = _Hashes(), None, {}
+    at, lines = None, {}
     for b in batches:
         for site, part, parts, key, page, norm in zip(*(c.to_pylist() for c in b.columns)):
             if (site, part, parts) != at:
                 if lines:
-                    yield from _count_roles(at[0], at[2] == 1, lines, hashes)
+                    yield from _count_roles(at[0], at[2] == 1, lines)
                 at, lines = (site, part, parts), {}
             if (e := lines.get(key)) is None:
                 lines[key] = [1, page, norm]
@@ -219,7 +222,7 @@ def read_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 e[0] += 1
                 e[1] += page
     if lines:
-        yield from _count_roles(at[0], at[2] == 1, lines, hashes)
+        yield from _count_roles(at[0], at[2] == 1, lines)
 
 
 _COMMON = pa.schema([("site", pa.int64()), ("key", pa.int64()), ("n_roles", pa.int64()), ("roles", pa.list_(pa.int64()))])
@@ -230,11 +233,10 @@ def read_common(words: np.ndarray):
     """(site, key, line) rows to (site, key, n_roles, roles) of the lines that ``words``, a filter of roles, may cover."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             if not b.num_rows:
                 continue
-            roles, sizes = roles_of(b.column(2).to_pylist(), hashes)
+            roles, sizes = roles_of(b.column(2).to_pylist())
             roles, line = _distinct(roles, np.repeat(np.arange(len(sizes)), sizes))
             n_roles = np.bincount(line, minlength=len(sizes))
             bit = roles & ((1 << _BITS) - 1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import main_body
-from textloom.llm.common import batch, mix
+from textloom.llm.common import batch, mix, run_hashes
 from textloom.runtime import materialize, spread
 
 SIMILARITY = 0.8
@@ -55,7 +55,10 @@ LATIN = frozenset(
     "sit consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis in reprehenderit voluptate velit esse cillum eu nulla pariatur excepteur occaecat cupidatat non sunt culpa qui deserunt mollit anim id est laborum".split()
 )
 
-_SLOT_CHARS = re.compile(r"[{\[<@$%]|__")
+
+def _slot_chars(text: str) -> bool:
+    return any(c in text for c in "{[<@$%") or "__" in text
+
 
 
 def _alternatives(source: str) -> list[str]:
@@ -147,15 +150,27 @@ class Tries:
         return {i for i, (at, u) in enumerate(units) if self.found(u, kinds(at, u))}
 
 
-_SENTENCE = re.compile(r"([.!?…])[^\S\n]+|([。！？])(?!\n)")
+_SENTENCE = re.compile(r"([.!?…。！？])(?:(?<![。！？])[^\S\n]+|(?<=[。！？])(?!\n))")  # begins with a set, which the engine looks for fast
 _CODE = re.compile(r"/[\w./-]+|\b[^\W\d]*+\d\w*")
 _OTHER = re.compile(r"[^\w\s\x1e]+|_+")
 _NAMES = re.compile(r"[A-Z](?:(?<=[^\W\d_] .)|(?<=, .))\w*(?: [A-Z]\w*)*")
 
 
-def masked(text: str) -> str:
-    """Lower case without punctuation; names inside a sentence, paths, codes and numbers as ``0``.  White space and sentence marks stay."""
-    return _OTHER.sub(" ", _CODE.sub("0", _NAMES.sub("0", text).lower()))
+class _Masks(dict):
+    """Words between white space in lower case without punctuation, paths, codes and numbers as ``0``; single blanks inside."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = m = " ".join(_OTHER.sub(" ", _CODE.sub("0", word.lower())).split())
+        return m
+
+
+def masked(text: str, masks: _Masks) -> str:
+    """Lower case without punctuation, single blanks; paths, codes and numbers as ``0``, as are the names that ``_NAMES`` finds before."""
+    out = " ".join(map(masks.__getitem__, text.split()))
+    # words of punctuation alone leave nothing
+    return " ".join(out.split()) if "  " in out or out[:1] == " " or out[-1:] == " " else out
 
 
 def mock_latin(unit: str) -> bool:
@@ -170,16 +185,12 @@ def has_slot(sentence: str) -> bool:
     return SLOT.search(sentence) is not None and not EXPLAINS.search(sentence)
 
 
-_CACHE: dict[str, int] = {}
-
-
 def _word_hashes(texts: list[str]) -> np.ndarray:
-    if len(_CACHE) > 500_000:
-        _CACHE.clear()
-    words = " ".join(texts).split(" ")
-    for w in set(words) - _CACHE.keys():
-        _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([_CACHE[w] for w in words], np.uint64)
+    out = []
+    for lo in range(0, len(texts), 4096):
+        symbols = np.frombuffer((" ".join(texts[lo : lo + 4096]) + " ").encode("utf-8", "surrogatepass"), np.uint8)
+        out.append(run_hashes(symbols, np.append(0, np.flatnonzero(symbols == 32)[:-1] + 1)))
+    return np.concatenate(out)
 
 
 def simhashes(texts: list[str]) -> np.ndarray:
@@ -203,14 +214,14 @@ def simhashes(texts: list[str]) -> np.ndarray:
 
 
 def prefixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash) of the shingles in each text's prefix.
+    """(text number, half of the shingle's hash) of the shingles in each text's prefix; half will do to find candidates.
 
     Texts of Jaccard similarity ``SIMILARITY`` share all but a fifth of either's n
     shingles at most, so they have one in common among the first n - ceil(0.8 n) + 1
     of both in the order of the hashes.  Texts under ``SHINGLE`` words have none here:
     they are one shingle as a whole, which only an equal text has.
     """
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    none = np.empty(0, np.int64), np.empty(0, np.int32)
     if not texts:
         return none
     h = _word_hashes(texts)
@@ -227,42 +238,52 @@ def prefixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     w, owner = w[inside], owner[:m][inside]
     if not len(w):
         return none
-    order = np.lexsort((w, owner))
-    w, owner = w[order], owner[order]
-    new = np.append(True, (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))
-    w, owner = w[new], owner[new]
+    # one word holds text number and hash, which loses no more than the bits of the number
+    bits = np.uint64(len(texts).bit_length())
+    both = np.sort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (w >> bits))
+    both = both[np.append(True, both[1:] != both[:-1])]
+    owner, w = (both >> (np.uint64(64) - bits)).astype(np.int64), both << bits
     n = np.bincount(owner, minlength=len(texts))
     rank = np.arange(len(w)) - (np.cumsum(n) - n)[owner]
     kept = rank < (n - (4 * n + 4) // 5 + 1)[owner]  # in whole numbers: 0.8 n rounded up
-    return owner[kept], w[kept].view(np.int64)
+    return owner[kept], (w[kept].view(np.int64) >> 32).astype(np.int32)
 
 
 _PREFIX = pa.schema([("key", pa.int64()), ("v", pa.int32())])
 
 
 def read_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per unit and prefix shingle of (key, masked) rows; half of the hash will do to find candidates."""
+    """A row per unit and prefix shingle of (key, masked) rows."""
     for b in batches:
         keys = b.column(0).to_numpy(zero_copy_only=False)
-        owner, w = prefixes(b.column(1).to_pylist())
-        yield batch(_PREFIX, keys[owner], (w >> 32).astype(np.int32))
+        owner, v = prefixes(b.column(1).to_pylist())
+        yield batch(_PREFIX, keys[owner], v)
+
+
+_UNITS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("key", pa.int64()), ("slot", pa.bool_()), ("trusted", pa.bool_()), ("masked", pa.string()), ("prefix", pa.list_(pa.int32()))])
+_UNITS_SQL = "doc_id long, line_no long, key long, slot boolean, trusted boolean, masked string, prefix array<int>"
 
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("key", pa.int64()), ("slot", pa.bool_()), ("trusted", pa.bool_()), ("masked", pa.string())])
-_UNITS_SQL = "doc_id long, line_no long, key long, slot boolean, trusted boolean, masked string"
+def _prefix_lists(column: tuple) -> pa.Array:
+    """Prefixes of the masked texts of a column; null texts have none."""
+    at = np.array([i for i, t in enumerate(column) if t is not None], np.int64)
+    owner, v = prefixes([t for t in column if t is not None])
+    ends = np.zeros(len(column) + 1, np.int32)
+    np.cumsum(np.bincount(at[owner], minlength=len(column)), out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(v))
 
 
 def unit_reader(pattern: re.Pattern):
     """Reader of (doc_id, title, text) rows into units; those that match ``pattern`` are trusted.
 
-    The title is line -1 and only looked at for slots.  The masked text comes with
-    its first place in a task.
+    The title is line -1 and only looked at for slots.  The masked text and its prefix
+    come with its first place in a task.
     """
     digest = xxhash.xxh3_64_intdigest
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        tries = Tries(pattern)
+        tries, masks = Tries(pattern), _Masks()
         for b in batches:
             rows = []
             for doc, title, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -270,12 +291,12 @@ def unit_reader(pattern: re.Pattern):
                     rows.append((doc, -1, None, True, False, None))
                 if not text:
                     continue
-                marked = _SENTENCE.sub("\\1\\2\x1e", text.replace("\x1e", " "))
-                slotted = _SLOT_CHARS.search(text) is not None
+                marked = _SENTENCE.sub("\\1\x1e", text.replace("\x1e", " "))
+                slotted = _slot_chars(text)
                 places = tries.places(marked)
                 upcoming, start = iter(places or ()), 0
                 end, kind = next(upcoming, (1 << 62, ""))
-                for no, (line, raw) in enumerate(zip(masked(marked).split("\n"), marked.split("\n"))):
+                for no, (line, raw) in enumerate(zip(_NAMES.sub("0", marked).split("\n"), marked.split("\n"))):
                     for unit, r in zip(line.split("\x1e"), raw.split("\x1e")):
                         start += len(r) + 1  # where the next unit begins
                         kinds = "" if places is not None else "trusted latin unset"
@@ -285,8 +306,8 @@ def unit_reader(pattern: re.Pattern):
                         r = r.strip()
                         if not r:
                             continue
-                        unit = " ".join(unit.split())
-                        slot = ("unset" in kinds or (slotted and _SLOT_CHARS.search(r) is not None)) and has_slot(r)
+                        unit = masked(unit, masks)
+                        slot = ("unset" in kinds or (slotted and _slot_chars(r))) and has_slot(r)
                         if not unit:
                             if slot:
                                 rows.append((doc, no, None, True, False, None))
@@ -300,7 +321,8 @@ def unit_reader(pattern: re.Pattern):
                         seen.add(key)
                         rows.append((doc, no, key, slot, tries.found(r, kinds) or ("latin" in kinds and mock_latin(r)), unit))
             if rows:
-                yield batch(_UNITS, *zip(*rows))
+                columns = list(zip(*rows))
+                yield batch(_UNITS, *columns, _prefix_lists(columns[5]))
 
     return read
 
@@ -311,17 +333,19 @@ def _shingles(text: str):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def spread_labels(units: DataFrame, texts: DataFrame) -> DataFrame:
+def spread_labels(units: DataFrame, texts: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Keys of all units in a connected component of near-duplicates that holds a trusted one.
 
-    ``units`` is (key, trusted), ``texts`` (key, masked).  Grows from the trusted
+    ``units`` is (key, trusted), ``texts`` (key, masked), ``table`` (key, v) their prefixes,
+    read from the texts if it is not given.  Grows from the trusted
     units: each round joins the prefixes of what was labelled last with those of the
     unlabelled rest, until a round adds nothing.  Components without a trusted unit
     are never built.
     """
     latest = materialize(units.where("trusted").select("key").distinct(), "labels")
     labels = latest
-    table = materialize(texts.select("key", "masked").mapInArrow(read_prefixes, "key long, v int"), "prefixes")
+    if table is None:
+        table = materialize(texts.select("key", "masked").mapInArrow(read_prefixes, "key long, v int"), "prefixes")
     while True:
         old = table.join(latest, "key", "left_semi").select(F.col("key").alias("old"), "v").distinct()
         near = materialize(table.join(labels, "key", "left_anti").join(old, "v").select("old", "key").distinct(), "near")
@@ -342,7 +366,7 @@ def residue_units(documents: DataFrame, pattern: re.Pattern = TRUSTED) -> tuple[
     rows = materialize(docs.mapInArrow(unit_reader(pattern), _UNITS_SQL), "units")
     firsts = rows.where("masked IS NOT NULL")
     distinct = materialize(firsts.groupBy("key").agg(F.max("trusted").alias("trusted")), "distinct-units")
-    return rows, spread_labels(distinct, firsts.select("key", "masked"))
+    return rows, spread_labels(distinct, firsts.select("key", "masked"), firsts.select("key", F.explode("prefix").alias("v")))
 
 
 def _passed_on(bodies: DataFrame, labels: DataFrame) -> DataFrame:
